@@ -1,0 +1 @@
+"""All operators of this library are batch operators; nothing here needs a stream."""
