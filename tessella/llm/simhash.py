@@ -6,24 +6,27 @@ every half with one bit masked out (64 keys of 31 fixed bits), and an equality
 join on (mask, masked value) finds every pair; a count of differing bits then
 verifies it. Only distinct fingerprints are indexed: copies share one.
 
-A key with two members is a pair. Within a key with more, the same scheme goes
-on over the bits that are still free: 32 of them give 32 masks of 15 bits more,
-and 16 of those 16 masks of 7 bits more. A key whose members exceed `bucket`
-is always split again, and the last level leaves 11 free bits, so 2,048 members
-at most: no key of any size is gathered, and no link is lost. Inside a bounded
-bucket only links that join different parts of it are handed on, as components
-need no more.
+Keys are shuffled and sorted once, and each worker walks through them. A key of
+no more than `bucket` members is verified there, and of its links only those
+that join different parts are handed on, as components need no more. The
+members of a larger key are never gathered: the same scheme goes on over the
+bits that are still free. 32 of them give 32 masks of 15 bits more, and 16 of
+those 16 masks of 7 bits more; the last level leaves 11 free bits, so 2,048
+members of a key at most. No link is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_rows, table
+from tessella.llm.common import map_rows, parts, table
 from tessella.llm.graph import components
 
 MAX_BITS = 3
@@ -38,22 +41,16 @@ def _halves(bits: list[int]) -> list[int]:
     return masks
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
-def level_masks() -> list[list[tuple[int, int]]]:
-    """For each level, (mask of the level before, mask)."""
+def level_masks() -> list[np.ndarray]:
+    """For each level its masks; the children of the i-th mask of a level are an equal stretch of the next, in the same order."""
     levels, now = [], [(0, list(range(64)))]
     for _ in range(3):
-        level, after = [], []
+        after = []
         for mask, free in now:
-            for more in _halves(free):
-                level.append((_signed(mask), _signed(mask | more)))
-                half = [b for b in free[: len(free) // 2]] if more & sum(1 << b for b in free[: len(free) // 2]) else free[len(free) // 2 :]
-                # The masked-out bit of the half may differ too, so the rest to compare is the other half.
-                after.append((mask | more, [b for b in free if b not in half]))
-        levels.append(level)
+            low, high = free[: len(free) // 2], free[len(free) // 2 :]
+            for k, more in enumerate(_halves(free)):
+                after.append((mask | more, high if k < len(low) else low))  # what the other half may differ in is left to compare
+        levels.append(np.array([m for m, _ in after], np.uint64).view(np.int64))
         now = after
     return levels
 
@@ -88,51 +85,95 @@ def fingerprints(df: DataFrame, width: int = 3, keep: list[str] | None = None) -
     return map_rows(df.select(*names, "text"), run, df.select(*names).schema.add("fp", "long"))
 
 
-def _forest(batches: Iterator[dict]) -> Iterator[dict]:
-    """Links of a spanning forest of each bucket of distinct fingerprints."""
-    for b in batches:
-        a, c = [], []
-        for members in b["fps"]:
-            fps = np.array(members, np.int64).view(np.uint64)
-            new = np.ones(len(fps), bool)
-            while new.any():
-                front = [int(np.flatnonzero(new)[0])]
-                new[front[0]] = False
-                while front:
-                    i = front.pop()
-                    rest = np.flatnonzero(new)
-                    near = rest[np.bitwise_count(fps[rest] ^ fps[i]) <= MAX_BITS]
-                    new[near] = False
-                    a += [members[i]] * len(near)
-                    c += [members[j] for j in near.tolist()]
-                    front += near.tolist()
-        yield {"a": a, "b": c}
+def forest(fps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links of a spanning forest of distinct fingerprints, unsigned."""
+    if len(fps) == 2:
+        return ([fps[:1]], [fps[1:]]) if int(fps[0] ^ fps[1]).bit_count() <= MAX_BITS else ([], [])
+    a, b, new = [], [], np.ones(len(fps), bool)
+    while new.any():
+        front = [int(np.flatnonzero(new)[0])]
+        new[front[0]] = False
+        while front:
+            i = front.pop()
+            rest = np.flatnonzero(new)
+            near = rest[np.bitwise_count(fps[rest] ^ fps[i]) <= MAX_BITS]
+            new[near] = False
+            a.append(np.repeat(fps[i], len(near)))
+            b.append(fps[near])
+            front += near.tolist()
+    return a, b
+
+
+def walk(masks: np.ndarray, bucket: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows (m, fp) sorted by m and masked value: links (a, b, m null), and members (a, b null, m) of keys larger than `bucket`."""
+    masks = masks.view(np.uint64)
+
+    def batch(a: np.ndarray, b: np.ndarray | None, m: np.ndarray | None) -> pa.RecordBatch:
+        none = lambda kind: pa.nulls(len(a), kind)
+        cols = [pa.array(a.view(np.int64)), none(pa.int64()) if b is None else pa.array(b.view(np.int64)), none(pa.int32()) if m is None else pa.array(m, pa.int32())]
+        return pa.RecordBatch.from_arrays(cols, names=["a", "b", "m"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, fp, large = np.empty(0, np.int32), np.empty(0, np.uint64), None
+
+        def key_of(i: int) -> tuple[int, int]:
+            return int(m[i]), int(fp[i] & masks[m[i]])
+
+        for rows in itertools.chain(batches, [None]):
+            if rows is not None:
+                m = np.concatenate((m, rows.column(0).to_numpy()))
+                fp = np.concatenate((fp, rows.column(1).to_numpy().view(np.uint64)))
+            if not len(m):
+                continue
+            value = fp & masks[m]
+            starts = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (value[1:] != value[:-1]))))
+            ends = np.append(starts[1:], len(m))
+            split = np.zeros(len(starts), bool) if large is None else (np.arange(len(starts)) == 0) & (key_of(0) == large)
+            split |= ends - starts > bucket
+            whole = np.ones(len(starts), bool)
+            whole[-1] = rows is None  # the last key may go on in the next batch
+            if large is not None and rows is not None and not (len(starts) == 1 and split[0]):
+                large = None
+            out = split.copy()
+            if split[-1]:
+                large = key_of(starts[-1])
+            if out.any():
+                take = np.repeat(out, ends - starts)
+                yield batch(fp[take], None, m[take])
+            links_a: list[np.ndarray] = []
+            links_b: list[np.ndarray] = []
+            size = ends - starts
+            two = starts[whole & ~split & (size == 2)]
+            near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= MAX_BITS]
+            links_a.append(fp[near])
+            links_b.append(fp[near + 1])
+            for i in np.flatnonzero(whole & ~split & (size > 2)).tolist():
+                a, b = forest(fp[starts[i] : ends[i]])
+                links_a += a
+                links_b += b
+            yield batch(np.concatenate(links_a), np.concatenate(links_b), None)
+            keep = starts[-1] if not whole[-1] and not split[-1] else len(m)
+            m, fp = m[keep:], fp[keep:]
+
+    return run
 
 
 def links(distinct: DataFrame, bucket: int = 256) -> DataFrame:
     """Pairs a, b of distinct fingerprints (column fp) that differ in 1 to 3 bits; enough of them to connect all that are linked."""
-    spark = distinct.sparkSession
     levels = level_masks()
-    members = distinct.select(F.lit(0).cast("long").alias("mask"), "fp")
-    found = None
-    for depth, level in enumerate(levels):
-        last = depth == len(levels) - 1
-        if depth == 0:
-            split = members.select("fp", F.explode(F.array(*[F.lit(m) for _, m in level])).alias("mask"))
-        else:  # a fixed table of masks
-            split = members.withColumnRenamed("mask", "up").join(F.broadcast(spark.createDataFrame(level, "up long, mask long")), "up").select("fp", "mask")
-        split = split.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
-        counted = table(split.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "signatures")
-        pairs = counted.where("n = 2").select("a", "b")
-        small = counted.where("n > 2" if last else f"n > 2 and n <= {bucket}").select("mask", "value")
-        grouped = split.join(small, ["mask", "value"]).groupBy("mask", "value").agg(F.collect_list("fp").alias("fps"))
-        pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).union(map_rows(grouped.select("fps"), _forest, "a long, b long"))
-        found = pairs if found is None else found.union(pairs)
-        if last or counted.where(f"n > {bucket}").isEmpty():
-            return found.distinct()
-        large = counted.where(f"n > {bucket}").select("mask", "value")
-        members = table(split.join(large, ["mask", "value"]).select("mask", "fp"), "large-signatures")
-    return found
+    members, before, found = distinct.select(F.lit(0).alias("m"), "fp"), 1, []
+    for depth, masks in enumerate(levels):
+        each = len(masks) // before
+        split = members.select(F.explode(F.sequence(F.col("m") * each, F.col("m") * each + (each - 1))).alias("m"), "fp")
+        value = F.expr(f"fp & element_at(array({','.join(f'{x}L' for x in masks.tolist())}), m + 1)")
+        keys = split.repartition(parts(distinct.sparkSession), "m", value).sortWithinPartitions("m", value)
+        limit = bucket if depth < len(levels) - 1 else 1 << 11
+        out = table(keys.mapInArrow(walk(masks, limit), "a long, b long, m int"), "signatures")
+        found.append(out.where("m is null").select("a", "b"))
+        members, before = out.where("m is not null").select("m", F.col("a").alias("fp")), len(masks)
+        if members.isEmpty():
+            break
+    return reduce(DataFrame.union, found)
 
 
 def labels(distinct: DataFrame) -> DataFrame:
