@@ -12,6 +12,7 @@ in an order given by their ids' bytes. Empty or null texts hold the end id alone
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessella.llm.common import TOKENIZER_FILE, map_rows, parts, table
-from tessella.llm.tokens import crc, encoder
+from tessella.llm.tokens import encoder
 
 MAGIC = b"TKB1"
 BLOCK_TOKENS = 1 << 19
@@ -135,29 +136,32 @@ def write_token_files(df: DataFrame, file: str = TOKENIZER_FILE, end_id: int = 2
     return table(map_rows(by_id, run, "shard int, block int, n_tokens long, blob binary"), "token-files"), order
 
 
-def read_token_files(blocks: DataFrame, order: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens, ids (array) from the files. The start of a shard is the sum of those before it: a row for each file."""
+def read_token_files(blocks: DataFrame, order: np.ndarray, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and ids (raw 32-bit, if asked for) from the files. The start of a shard is the sum of those before it: a row for each file."""
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     starts = shards.select("shard", (F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("shard_start"))
 
+    kinds = ("doc_id long", "start long", "n_tokens long", "ids_crc32 long", "ids binary")[: 5 if with_ids else 4]
+    names = [k.split()[0] for k in kinds]
+
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             for blob, start in zip(b["blob"], b["shard_start"], strict=True):
                 before, docs = unpack_block(blob)
                 at = start + before
-                out: dict[str, list] = {k: [] for k in ("doc_id", "start", "n_tokens", "ids_crc32", "ids")}
+                out: dict[str, list] = {k: [] for k in names}
                 for doc, ranks in docs:
-                    ids = order[ranks]
-                    for k, v in zip(out, (doc, at, len(ids), crc(ids), ids.astype("<u4").tobytes()), strict=True):
+                    raw = order[ranks].astype("<u4").tobytes()
+                    for k, v in zip(names, (doc, at, len(ranks), zlib.crc32(raw), raw), strict=False):
                         out[k].append(v)
-                    at += len(ids)
+                    at += len(ranks)
                 yield out
 
     # bounded: one row for each file of the set
-    return map_rows(blocks.join(F.broadcast(starts), "shard").select("blob", "shard_start"), run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return map_rows(blocks.join(F.broadcast(starts), "shard").select("blob", "shard_start"), run, ", ".join(kinds))
 
 
 def op3_token_files(spark, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back."""
     blocks, order = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return read_token_files(blocks, order).drop("ids")
+    return read_token_files(blocks, order, with_ids=False)
