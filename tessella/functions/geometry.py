@@ -50,17 +50,19 @@ def iou(a: tuple, b: tuple, form: str = "safe") -> Column:
 
     safe: 0 for an empty union; plus: 1e-12 is added to the union; floor: the
     union is 1e-9 at least; pixel: sides count a pixel more, as of whole pixels.
+    Null if a box is null.
     """
     one = F.lit(1.0 if form == "pixel" else 0.0)
     side = lambda lo, hi: F.greatest(hi - lo + one, F.lit(0.0))
     inter = side(F.greatest(a[0], b[0]), F.least(a[2], b[2])) * side(F.greatest(a[1], b[1]), F.least(a[3], b[3]))
     of = lambda x: (x[2] - x[0] + one) * (x[3] - x[1] + one)
     union = of(a) + of(b) - inter
+    both = lambda c: F.when(F.isnotnull(union), c)  # noqa: E731  greatest and least pass over nulls
     if form == "plus":
-        return inter / (union + F.lit(1e-12))
+        return both(inter / (union + F.lit(1e-12)))
     if form == "floor":
-        return inter / F.greatest(union, F.lit(1e-9))
-    return F.coalesce(F.try_divide(inter, union), F.lit(0.0))
+        return both(inter / F.greatest(union, F.lit(1e-9)))
+    return both(F.coalesce(F.try_divide(inter, union), F.lit(0.0)))
 
 
 def polygon_box(points: Column, width: Column, height: Column) -> Column:

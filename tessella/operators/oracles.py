@@ -50,7 +50,7 @@ def greedy_batches(images: DataFrame, boxes: DataFrame, pool: DataFrame, k: int)
     left = k
     while left > 0:
         rest = images.select("image_id").join(chosen, "image_id", "left_anti").join(pool.select("image_id"), "image_id", "left_anti")
-        best = oracle("combined", rest, boxes.join(rest, "image_id", "left_semi").union(boxes.join(rest, "image_id", "left_anti")), pool.select("image_id").union(chosen))
+        best = oracle("combined", rest, boxes, pool.select("image_id").union(chosen))
         ids = [(r.image_id,) for r in best.orderBy(F.desc("score"), "image_id").limit(min(step, left)).collect()]  # a tenth of the budget
         if not ids:
             break
