@@ -163,9 +163,9 @@ class ContextTree:
             weighted, own = logs[depth], [np.empty(0)] * depth
             for d in range(depth - 1, -1, -1):
                 u, a, b = trees[d]
-                below = np.bincount(up[d], weighted, len(u))
-                rest_a = np.maximum(a - np.bincount(up[d], trees[d + 1][1], len(u)), 0)
-                rest_b = np.maximum(b - np.bincount(up[d], trees[d + 1][2], len(u)), 0)
+                below = np.bincount(up[d], weighted, len(u)).astype(float)
+                rest_a = np.maximum(a - np.bincount(up[d], trees[d + 1][1], len(u)), 0.0)
+                rest_b = np.maximum(b - np.bincount(up[d], trees[d + 1][2], len(u)), 0.0)
                 below += np.where(rest_a + rest_b > 0, log_kt(rest_a, rest_b), 0)
                 own[d] = 1 / (1 + np.exp(np.clip(below - logs[d], -700, 700)))  # this depth's share against the deeper ones
                 weighted = np.logaddexp(logs[d], below) - math.log(2)

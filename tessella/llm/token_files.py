@@ -33,23 +33,27 @@ NULL_ID = -(1 << 63)
 
 def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
-    v = values.astype("<u4")
-    code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    wide = 2 if not len(values) or values.max() <= 0xFFFF else 4
+    v = values.astype(f"<u{wide}")
+    code = (v > 0xFF).astype(np.uint8)
+    if wide == 4:
+        code += (v > 0xFFFF).astype(np.uint8) + (v > 0xFFFFFF)
     four = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     four[: len(v)] = code
-    control = four.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    control = four[0::4] | four[1::4] << 2 | four[2::4] << 4 | four[3::4] << 6
+    data = v.view(np.uint8).reshape(-1, wide)[np.arange(wide, dtype=np.uint8) <= code[:, None]]
+    return control.tobytes(), data.tobytes()
 
 
 def unpack_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     """The inverse of pack_values by table lookup."""
-    size = LENGTHS[control].reshape(-1)[:n].astype(np.int64)
-    at = np.cumsum(size) - size
+    size = LENGTHS[control].reshape(-1)[:n]
+    at = np.cumsum(size, dtype=np.int64)
+    at -= size
     out = data[at].astype(np.uint32)
-    for k in (1, 2, 3):
-        if len(more := np.flatnonzero(size > k)):
-            out[more] |= data[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    for k in range(1, int(size.max(initial=1))):
+        more = np.flatnonzero(size > k)
+        out[more] |= data[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 

@@ -13,6 +13,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import regex
@@ -33,7 +34,7 @@ class Encoder:
 
     def __init__(self, file: str = TOKENIZER_FILE):
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         path = file if "/" in file else public_tokenizers.path(file)
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,6 +45,11 @@ class Encoder:
         steps = [n["type"] for n in (model.get("normalizer") or {}).get("normalizers", [])]
         self.split = regex.compile(split[0]["pattern"]["Regex"]) if len(split) == 1 and split[0]["behavior"] == "Removed" and split[0]["invert"] and steps == ["NFC", "Replace", "Lowercase"] else None
         self.latin = LATIN_WORDS if self.split is not None and self.split.pattern == CLIP_WORDS else None
+        # The same model for pre-tokens that are normalised and split already.
+        self.plain = Tokenizer.from_file(path)
+        if self.split is not None:
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         suffix = model["model"].get("end_of_word_suffix")
         self.final = self._final(model["model"]["vocab"], suffix) if suffix else None
         self.memo: dict[str, bytes] = {}
@@ -72,7 +78,7 @@ class Encoder:
             for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
                 memo[w] = np.array(e.ids, "<u4").tobytes()
             return
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(rest)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.plain.encode_batch_fast([" ".join(rest)], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.flatnonzero(self.final[ids]) + 1) * 4
         raw, at = ids.tobytes(), 0
         for w, to in zip(rest, ends.tolist(), strict=True):
@@ -83,7 +89,7 @@ class Encoder:
         """The pre-tokens, or None if the whole text must go to the library."""
         if self.split is None or any(s in text for s in self.special):
             return None
-        if LATIN.fullmatch(text) and self.latin is not None:
+        if self.latin is not None and (text.isascii() or LATIN.fullmatch(text)):
             return self.latin.findall(text.lower())
         text = unicodedata.normalize("NFC", text)
         if "İ" in text or "Σ" in text:  # lower case of these depends on the context or has two code points
@@ -95,7 +101,7 @@ class Encoder:
         for k in range(0, len(texts), GROUP):
             group = texts[k : k + GROUP]
             split = [self.words(t or "") for t in group]
-            if missing := set().union(*(w for w in split if w)).difference(self.memo):
+            if missing := set(filterfalse(self.memo.__contains__, chain.from_iterable(w for w in split if w))):
                 self._fill(missing)
             for text, words in zip(group, split, strict=True):
                 if words is None:
