@@ -13,7 +13,6 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import regex
@@ -101,18 +100,19 @@ class Encoder:
         for k in range(0, len(texts), GROUP):
             group = texts[k : k + GROUP]
             split = [self.words(t or "") for t in group]
-            if missing := set(filterfalse(self.memo.__contains__, chain.from_iterable(w for w in split if w))):
-                self._fill(missing)
+            flat = [w for words in split if words for w in words]
+            parts = list(map(self.memo.get, flat))
+            if holes := [i for i, p in enumerate(parts) if p is None]:
+                self._fill({flat[i] for i in holes})
+                for i in holes:
+                    parts[i] = self.memo[flat[i]]
+            at = 0
             for text, words in zip(group, split, strict=True):
                 if words is None:
                     yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                    continue
-                try:
-                    raw = b"".join(map(self.memo.__getitem__, words))
-                except KeyError:  # the memo was changed for a newer one meanwhile
-                    self._fill(set(words).difference(self.memo))
-                    raw = b"".join(self.memo[w] if w in self.memo else self.older[w] for w in words)
-                yield np.frombuffer(raw, "<u4")
+                else:
+                    yield np.frombuffer(b"".join(parts[at : at + len(words)]), "<u4")
+                    at += len(words)
 
     def ids(self, text: str | None) -> np.ndarray:
         return next(self.batch([text]))
