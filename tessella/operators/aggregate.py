@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import vectors as V
 from tessella.operators.pool import DEFAULT_WEIGHT
-from tessella.operators.ranking import average_rank
+from tessella.operators.ranking import average_rank, correlation
 
 AGGREGATIONS = ("max", "min", "sum", "mean", "crop_weighted", "class_weighted_sum")
 
@@ -64,7 +64,7 @@ def prefix_features(distances: DataFrame, names: list[str]) -> DataFrame:
         aggs += [F.avg(F.col(b) - F.col(a)).alias(f"diff_mean_{a}_{b}"), F.stddev_pop(F.col(b) - F.col(a)).alias(f"diff_std_{a}_{b}")]
     aggs += [F.avg("__var").alias("var_mean"), F.max("__var").alias("var_max"), F.sum("__var").alias("var_sum")]
     ranked = average_rank(average_rank(distances, names[0], "__r0", "image_id"), names[-1], "__r1", "image_id")
-    agree = ranked.groupBy("image_id").agg(F.when(F.count(F.lit(1)) > 2, F.nanvl(F.corr("__r0", "__r1"), F.lit(0.0))).alias("c"))
+    agree = ranked.groupBy("image_id").agg(F.when(F.count(F.lit(1)) > 2, correlation("__r0", "__r1")).alias("c"))
     return rows.groupBy("image_id").agg(*aggs).join(agree, "image_id").withColumn("scale_consistency", F.coalesce("c", F.lit(0.0))).drop("c")
 
 

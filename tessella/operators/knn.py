@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +36,7 @@ def knn_distances(queries: DataFrame, pool: DataFrame, k: int = 1, widths: list[
     vector are left out. queries need a unique crop_id if the pool exceeds one block.
     """
     widths = widths or [1 << 30]
-    schema = queries.schema.add("distances", T.ArrayType(T.ArrayType(T.DoubleType())))
+    schema = T.StructType([*queries.schema, T.StructField("distances", T.ArrayType(T.ArrayType(T.DoubleType())))])
     queries = queries.where("embedding is not null")
     pool = pool.where("embedding is not null").select("crop_id", "embedding")
     blocks = max(1, -(-pool.count() // block))
@@ -106,6 +107,4 @@ def top_similar(crops: DataFrame, targets: DataFrame, n: int, block: int = BLOCK
 
         part = crops.where("embedding is not null").select("crop_id", "embedding").mapInArrow(run, "fp_id long, crop_id long, sim double")
         found = part if found is None else found.union(part)
-    from pyspark.sql import Window as W
-
     return found.withColumn("rank", F.row_number().over(W.partitionBy("fp_id").orderBy(F.desc("sim"), "crop_id"))).where(F.col("rank") <= n)

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from tessella.operators.pool import class_histogram, pool_stats
 from tessella.operators.ranking import ordinal_percentile
 
-N, U = F.count("cls"), F.count_distinct("cls")
-
-
 def _rarity(eps: float) -> Column:
     return 1 / (F.coalesce(F.col("c"), F.lit(0)) / F.greatest(F.col("total_boxes"), F.lit(1)) + eps)
 
@@ -23,13 +20,14 @@ def _deviation() -> Column:
 
 def forms(classes: int = 20) -> dict[str, Callable[[], Column]]:
     """Expressions over an image's boxes (cls, a), the class counts c and the pool's statistics."""
+    n, u = F.count("cls"), F.count_distinct("cls")
     return {
-        "density": lambda: N * (1 + U / classes),
+        "density": lambda: n * (1 + u / classes),
         "class_balance": lambda: F.sum(_rarity(0.001)),
-        "diversity": lambda: U * U + 10 * F.coalesce(F.stddev_pop("a"), F.lit(0.0)) + 5 * F.avg(_deviation()),
-        "combined": lambda: F.sum(_rarity(0.01)) + 2 * U + 0.5 * N + 5 * F.sum(_deviation()) / F.greatest(N, F.lit(1)),
-        "balanced": lambda: 0.5 * N + 0.3 * F.avg(_rarity(0.01)) + 2 * U,
-        "balanced_v1": lambda: 0.5 * N + 0.3 * F.avg(_rarity(0.001)) + 2 * U,
+        "diversity": lambda: u * u + 10 * F.coalesce(F.stddev_pop("a"), F.lit(0.0)) + 5 * F.avg(_deviation()),
+        "combined": lambda: F.sum(_rarity(0.01)) + 2 * u + 0.5 * n + 5 * F.sum(_deviation()) / F.greatest(n, F.lit(1)),
+        "balanced": lambda: 0.5 * n + 0.3 * F.avg(_rarity(0.01)) + 2 * u,
+        "balanced_v1": lambda: 0.5 * n + 0.3 * F.avg(_rarity(0.001)) + 2 * u,
     }
 
 

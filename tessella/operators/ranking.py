@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation; null where a column is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def ordinal_percentile(scores: DataFrame, column: str, out: str) -> DataFrame:
     """Place over (n - 1), ties in order of image_id."""
     n = F.count(F.lit(1)).over(W.partitionBy())
@@ -22,14 +27,14 @@ def average_rank(df: DataFrame, column: str, out: str, *by: str) -> DataFrame:
 def spearman(scores: DataFrame, a: str, b: str) -> DataFrame:
     """Rho over rows that have both."""
     both = average_rank(average_rank(scores.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, "__a"), b, "__b")
-    return both.agg(F.corr("__a", "__b").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return both.agg(correlation("__a", "__b").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def spearman_matrix(scores: DataFrame) -> DataFrame:
     """A, b, rho, n of every two methods of scores (method, image_id, score), over images that both score."""
     x, y = scores.toDF("a", "image_id", "sa"), scores.toDF("b", "image_id", "sb")
     both = average_rank(average_rank(x.join(y, "image_id").where("a < b"), "sa", "ra", "a", "b"), "sb", "rb", "a", "b")
-    return both.groupBy("a", "b").agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return both.groupBy("a", "b").agg(correlation("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def top_k(scores: DataFrame, k: int, ascending: bool = False) -> DataFrame:
@@ -51,7 +56,7 @@ def method_report(scores: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """Method, rho, overlap of each method of scores (method, image_id, score) with the truth (image_id, score)."""
     t = truth.select("image_id", F.col("score").alias("t"))
     both = average_rank(average_rank(scores.join(t, "image_id"), "score", "rs", "method"), "t", "rt", "method")
-    rho = both.groupBy("method").agg(F.corr("rs", "rt").alias("rho"))
+    rho = both.groupBy("method").agg(correlation("rs", "rt").alias("rho"))
     best = top_k(truth, k).select("image_id")
     hit = top_k_per(scores, k, "method").join(best, "image_id", "left_semi").groupBy("method").agg(F.count(F.lit(1)).alias("c"))
     return rho.join(hit, "method", "left").select("method", "rho", (F.coalesce("c", F.lit(0)) / max(1, k)).alias("overlap"))

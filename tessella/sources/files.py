@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessella.functions import geometry as G
 from tessella.functions import names as N
 
-CROPS = T._parse_datatype_string("crop_id long, image_id long, cls int, embedding array<float>")
-LOSSES = T._parse_datatype_string("im_file string, epoch int, loss_iou double, loss_cls double, loss_dfl double")
+CROPS = "crop_id long, image_id long, cls int, embedding array<float>"
+LOSSES = "im_file string, epoch int, loss_iou double, loss_cls double, loss_dfl double"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
