@@ -121,7 +121,7 @@ def best_fit(df: DataFrame, capacity: int) -> DataFrame:
             own = rank - row[:, 1]
             yield {n: b[n] for n in names} | {"sequence_id": (row[:, 2] + own // row[:, 3]).tolist(), "offset": (row[:, 4] + own % row[:, 3] * length).tolist()}
 
-    schema = df.schema.add("sequence_id", "long").add("offset", "long")
+    schema = df.select("*").schema.add("sequence_id", "long").add("offset", "long")
     return map_rows(ranked.select(*names, (F.col("__own") + F.col("__before")).alias("__rank")), run, schema)
 
 
