@@ -62,7 +62,8 @@ def knn_distances(queries: DataFrame, pool: DataFrame, k: int = 1, widths: list[
         part = queries.mapInArrow(run, schema)
         found = part if found is None else found.union(part)
     if blocks > 1:  # one list for each block and crop
-        merged = [F.slice(F.array_sort(F.flatten(F.transform(F.col("all"), lambda d, i=i: d[i]))), 1, k) for i in range(len(widths))]
+        at = lambda i: F.transform(F.col("all"), lambda d: d[i])
+        merged = [F.slice(F.array_sort(F.flatten(at(i))), 1, k) for i in range(len(widths))]
         lists = found.groupBy("crop_id").agg(F.collect_list("distances").alias("all")).select("crop_id", F.array(*merged).alias("distances"))
         found = queries.join(lists, "crop_id")
     return found
