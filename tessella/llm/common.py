@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -23,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
         spark.conf.set("spark.checkpoint.dir", found)
