@@ -57,8 +57,20 @@ def greedy_batches(images: DataFrame, boxes: DataFrame, pool: DataFrame, k: int)
     return chosen
 
 
-def hybrid(scores: DataFrame, alpha: float, weight: float) -> DataFrame:
-    """Percentile of distance times powers of the percentiles of variance and count; scores: image_id, dist, var, n."""
+def percentiles(scores: DataFrame) -> DataFrame:
+    """W02 of dist, var and n in __dist, __var and __n; scores: image_id, dist, var, n."""
     for c in ("dist", "var", "n"):
         scores = ordinal_percentile(scores, c, f"__{c}")
-    return scores.select("image_id", (F.col("__dist") * F.pow("__var", F.lit(alpha)) * F.pow("__n", F.lit(weight))).alias("score"))
+    return scores
+
+
+def hybrid(scores: DataFrame, alpha: float, weight: float) -> DataFrame:
+    """Percentile of distance times powers of the percentiles of variance and count; scores: image_id, dist, var, n."""
+    return hybrid_grid(scores, [alpha], [weight]).select("image_id", "score")
+
+
+def hybrid_grid(scores: DataFrame, alphas: list[float], weights: list[float]) -> DataFrame:
+    """O10 for every alpha and weight: the percentiles are made once."""
+    pairs = F.array(*(F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(w)).alias("weight")) for a in alphas for w in weights))
+    each = percentiles(scores).select("image_id", "__dist", "__var", "__n", F.inline(pairs))
+    return each.select("alpha", "weight", "image_id", (F.col("__dist") * F.pow("__var", "alpha") * F.pow("__n", "weight")).alias("score"))

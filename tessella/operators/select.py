@@ -112,7 +112,8 @@ def voting(spaces: list[DataFrame], labeled: DataFrame, k: int, aggregation: str
 def two_budgets(scores: DataFrame, frg: int, bg: int) -> DataFrame:
     """The least scores of each status up to its budget; scores: image_id, status, score."""
     place = F.row_number().over(W.partitionBy("status").orderBy("score", "image_id"))
-    return scores.withColumn("rank", place).where(F.col("rank") <= F.when(F.col("status") == "bg", bg).otherwise(frg))
+    most = F.col("rank") <= max(frg, bg)  # a plain bound, so that no more of a status is sorted in one task
+    return scores.withColumn("rank", place).where(most & (F.col("rank") <= F.when(F.col("status") == "bg", bg).otherwise(frg)))
 
 
 def modular_sample(images: DataFrame, position: Column, percent: int) -> DataFrame:
@@ -122,7 +123,7 @@ def modular_sample(images: DataFrame, position: Column, percent: int) -> DataFra
 
 def every_kth(images: DataFrame, k: int, order: str = "image_id") -> DataFrame:
     """FL06."""
-    return images.withColumn("__n", F.row_number().over(W.orderBy(order))).where(F.col("__n") % k == 0).drop("__n")
+    return ranking.places(images, order).where((F.col("__below") + 1) % k == 0).drop("__below", "__total")
 
 
 def nested_sample(parent: DataFrame, whole: int, fraction: float, seed: int) -> DataFrame:

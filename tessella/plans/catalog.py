@@ -150,12 +150,7 @@ def _measures(t: Tables) -> DataFrame:
 
 @query("o10_hybrid", f"{HYBRID} SELECT alpha, weight, image_id, round(p_dist * pow(p_var, alpha) * pow(p_n, weight), 6) AS score FROM q, (VALUES (CAST(0.3 AS DOUBLE)), (0.5), (1), (2)) a(alpha), (VALUES (CAST(0.3 AS DOUBLE)), (0.5), (1)) b(weight)")
 def _(t):
-    out = None
-    for a in (0.3, 0.5, 1.0, 2.0):
-        for w in (0.3, 0.5, 1.0):
-            part = oracles.hybrid(_measures(t), a, w).select(F.lit(a).alias("alpha"), F.lit(w).alias("weight"), "image_id", "score")
-            out = part if out is None else out.unionByName(part)
-    return out
+    return oracles.hybrid_grid(_measures(t), [0.3, 0.5, 1.0, 2.0], [0.3, 0.5, 1.0])
 
 
 METHODS = f"{HYBRID}, sc AS (SELECT 'distance' AS method, image_id, dist AS score FROM m UNION ALL SELECT 'variance', image_id, var FROM m UNION ALL SELECT 'crop_count', image_id, CAST(n AS DOUBLE) FROM m UNION ALL SELECT 'hybrid', image_id, p_dist * pow(p_var, 0.5) * pow(p_n, 0.5) FROM q)"

@@ -1,5 +1,7 @@
 """Hand-made rows for the operators, and properties."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +176,25 @@ def test_rank_properties(spark):
     assert ranking.overlap(s, s.where("image_id < 2"), 4).first().share == 0.5
 
 
+def test_places_of_large_groups(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice("ab") if i % 9 else None, rng.choice([0.0, 0.0, 0.0, 1.5, rng.random(), float("nan"), None])) for i in range(300)]
+    s = spark.createDataFrame(rows, "image_id long, g string, score double").repartition(7)
+    got = ranking.average_place(s, "score", "x", "g")
+    assert got.columns == [*s.columns, "x"]
+    table = lambda df: sorted((r.image_id, r.x) for r in df.collect())
+    assert table(got) == table(ranking.average_rank(s, "score", "x", "g"))
+    assert table(ranking.average_place(s, "score", "x")) == table(ranking.average_rank(s, "score", "x"))
+    key = lambda r: (r[2] is not None, (r[2] != r[2], 0 if r[2] != r[2] else r[2]) if r[2] is not None else (), r[0])
+    want = sorted((r[0], n / 299) for n, r in enumerate(sorted(rows, key=key)))
+    assert table(ranking.ordinal_percentile(s, "score", "x")) == want
+    assert ranking.places(s.where("image_id < 0"), "score").count() == 0
+    assert sorted(r.image_id for r in select.every_kth(s, 7).collect()) == list(range(6, 300, 7))
+    two = [(i, "bg" if i < 4 else "frg", float(-i)) for i in range(10)]
+    chosen = select.two_budgets(spark.createDataFrame(two, "image_id long, status string, score double"), 3, 1)
+    assert sorted(r.image_id for r in chosen.collect()) == [3, 7, 8, 9]
+
+
 def test_pools(spark):
     images = spark.createDataFrame([("a",), ("b",)], "image_id string")
     none = spark.createDataFrame([], BOX)
