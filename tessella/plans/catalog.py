@@ -12,6 +12,7 @@ from tessella.functions import names as N
 from tessella.functions import vectors as V
 from tessella.operators import aggregate, chains, knn, matching, metrics, ml, oracles, pool, ranking, select
 from tessella.plans.fixtures import oracle, view
+from tessella.sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -157,7 +158,7 @@ METHODS = f"{HYBRID}, sc AS (SELECT 'distance' AS method, image_id, dist AS scor
 
 
 def _methods(t: Tables) -> DataFrame:
-    m = _measures(t)
+    m = staged(_measures(t), "measures")
     named = lambda name, c: m.select(F.lit(name).alias("method"), "image_id", F.col(c).cast("double").alias("score"))
     return named("distance", "dist").unionByName(named("variance", "var")).unionByName(named("crop_count", "n")).unionByName(oracles.hybrid(m, 0.5, 0.5).select(F.lit("hybrid").alias("method"), "image_id", "score"))
 
