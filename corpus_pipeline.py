@@ -8,7 +8,6 @@ next begins. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, language_id, packing, secret_scan, simhash
@@ -45,8 +44,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fps = table(simhash.fingerprints(docs.select(_row(docs).alias("doc_id"), "text", F.col("doc_id").alias("id")), keep=["id"]), "fingerprints")
     by_print = table(fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", F.col("doc_id").alias("row"))).alias("first")), "first-rows")
     kept = by_print.join(simhash.labels(by_print), "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    joined = docs.withColumn("__row", _row(docs)).join(kept, "__row", "left_semi")
-    return joined.withColumn("__n", F.row_number().over(W.partitionBy("__row").orderBy("doc_id"))).where("__n = 1").select(*docs.columns)
+    once = docs.withColumn("__row", _row(docs)).dropDuplicates(["__row"])  # before the shuffle, so that a row that repeats very often is no single task
+    return once.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -340,6 +340,7 @@ def test_pipeline(spark, tmp_path):
     base = docs.first().text
     extra = [(9001, base, "en", "x", len(base)), (9002, f"{base[:400]} {item} {base[400:800]}", "en", "x", 1), (9003, "12 34 !!", "en", "x", 8), (9004, "the password=hunter22x of the and this is that", "en", "x", 3), (9005, None, "en", "x", None)]
     path = str(tmp_path)
+    extra += extra[3:4] * 20  # a row that repeats whole stays once
     docs.unionByName(spark.createDataFrame(extra, DOC)).write.parquet(f"{path}/documents.parquet")
     bench.write.parquet(f"{path}/benchmark.parquet")
     now, kept = spark.read.parquet(f"{path}/documents.parquet"), {}
@@ -351,6 +352,8 @@ def test_pipeline(spark, tmp_path):
             assert set(now.columns) == set(docs.columns)
     assert not {9003, 9005} & kept["language_id"] and len(kept["language_id"]) == docs.count() + 3
     assert 9001 not in kept["simhash_dedup"] and 9002 not in kept["decontamination"] and 9004 in kept["packing"]
+    assert spark.read.parquet(f"{path}/language_id").where("doc_id = 9004").count() == 21
+    assert spark.read.parquet(f"{path}/simhash_dedup").where("doc_id = 9004").count() == 1
     assert "hunter22x" not in spark.read.parquet(f"{path}/secret_scan").where("doc_id = 9004").first().text
     groups = simhash.near_duplicates(spark.read.parquet(f"{path}/language_id"))
     assert kept["simhash_dedup"] == {r.component_id for r in groups.collect()}
