@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, language_id, packing, secret_scan, simhash
+from tessella.llm import decontaminate, language_id, near_copies, packing, secret_scan
 from tessella.llm.common import table
 
 #: Up to so many row hashes are sent to all workers (8 bytes each); more are joined by a shuffle.
@@ -40,10 +40,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash group: the one of the least id (nulls last), of rows that share it the one of the least hash."""
-    fps = table(simhash.fingerprints(docs.select(_row(docs).alias("doc_id"), "text", F.col("doc_id").alias("id")), keep=["id"]), "fingerprints")
-    by_print = table(fps.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", F.col("doc_id").alias("row"))).alias("first")), "first-rows")
-    kept = by_print.join(simhash.labels(by_print), "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    """Keeps one document of each group linked by 0.8 Jaccard similarity of five-word shingles: the one of the least id (nulls last), of rows that share it the one of the least hash."""
+    found = near_copies.groups(docs.select(_row(docs).alias("row"), F.col("doc_id").alias("id"), "text"))
+    kept = found.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
     once = docs.withColumn("__row", _row(docs)).dropDuplicates(["__row"])  # before the shuffle, so that a row that repeats very often is no single task
     return once.join(kept, "__row", "left_semi").select(*docs.columns)
 
