@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -27,7 +26,6 @@ from tessella.llm.common import map_rows, table
 BITS = 16
 #: The sample's bound: so many rows are expected at most for each language.
 MAX_TRAIN = 1500
-MAX_LANGUAGES = 64
 TEMPER = 0.25  # neighbouring trigrams tell much the same, so a text counts as a quarter of its trigrams
 HOST_WEIGHT = 20.0
 SKIPPED = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
@@ -49,47 +47,55 @@ def trigrams(text: str) -> np.ndarray:
 
 
 class TextModel:
-    """languages and log probabilities of trigram slots, a row for each language."""
+    """languages, each one's log probability of an unseen trigram slot, and by slot the languages that have it with what it adds to that."""
 
-    def __init__(self, languages: list[str], logs: np.ndarray):
-        self.languages, self.logs = languages, logs
+    def __init__(self, languages: list[str], lang: np.ndarray, slot: np.ndarray, n: np.ndarray):
+        """lang, slot, n: the counts of slots, each pair once; memory goes by their number, so a rare language costs little."""
+        self.languages = languages
+        totals = np.bincount(lang, n, len(languages)) + 0.05 * (1 << BITS)
+        self.unseen = np.log(0.05 / totals)
+        order = np.argsort(slot, kind="stable")
+        self.begins = np.searchsorted(slot[order], np.arange((1 << BITS) + 1))
+        self.lang, self.more = lang[order].astype(np.int32), np.log((n[order] + 0.05) / 0.05).astype(np.float32)
 
     def likelihood(self, text: str | None) -> list[float] | None:
         """Tempered log likelihoods in the order of the languages; None for a text without letters."""
         if not text or not LETTER.search(text):
             return None
         slots = trigrams(text)
-        return (self.logs[:, slots].sum(1, dtype=np.float64) * TEMPER).tolist() if len(slots) else None
+        if not len(slots):
+            return None
+        first, size = self.begins[slots], self.begins[slots + 1] - self.begins[slots]
+        at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        return ((np.bincount(self.lang[at], self.more[at], len(self.languages)) + len(slots) * self.unseen) * TEMPER).tolist()
 
 
 def train(docs: DataFrame, label: str = "lang", max_train: int = MAX_TRAIN) -> TextModel:
-    """Byte-trigram models from labelled texts; a share of each language's rows by a hash of doc_id, so that max_train are expected."""
-    per = docs.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(MAX_LANGUAGES).collect()
+    """Byte-trigram models of every label that occurs; a share of each language's rows by a hash of doc_id, so that max_train are expected."""
+    per = docs.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
     languages = sorted(r[label] for r in per)
     if not languages:
         raise ValueError("no labelled text to learn languages from")
     place = {v: i for i, v in enumerate(languages)}
-    share = {r[label]: min(1.0, max_train / r["n"]) for r in per}
-    taken = reduce(lambda a, b: a | b, (F.col(label).eqNullSafe(k) & (F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < int(np.ceil(s * (1 << 20)))) for k, s in share.items()))
+    limits = docs.sparkSession.createDataFrame([(r[label], place[r[label]], int(np.ceil(min(1.0, max_train / r["n"]) * (1 << 20)))) for r in per], "__label string, lang int, __limit int")
+    labelled = docs.select(F.col(label).alias("__label"), F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)).alias("__sample"), "text")
+    taken = labelled.join(F.broadcast(limits), "__label").where("__sample < __limit").select("lang", "text")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        total = np.zeros((len(languages), 1 << BITS), np.int64)
         for b in batches:
-            for lang, text in zip(b["lang"], b["text"], strict=True):
-                total[place[lang]] += np.bincount(trigrams(text or ""), minlength=1 << BITS)
-        at = np.nonzero(total)
-        yield {"lang": at[0].tolist(), "slot": at[1].tolist(), "n": total[at].tolist()}
+            u, n = np.unique(np.concatenate([trigrams(text or "") + (lang << BITS) for lang, text in zip(b["lang"], b["text"], strict=True)]), return_counts=True)
+            yield {"lang": (u >> BITS).tolist(), "slot": (u & ((1 << BITS) - 1)).tolist(), "n": n.tolist()}
 
-    got = map_rows(docs.where(taken).select(F.col(label).alias("lang"), "text"), run, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.full((len(languages), 1 << BITS), 0.05)
-    counts[got["lang"].to_numpy(int), got["slot"].to_numpy(int)] += got["n"].to_numpy(float)
-    return TextModel(languages, (np.log(counts) - np.log(counts.sum(1, keepdims=True))).astype(np.float32))
+    got = map_rows(taken, run, "lang int, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    return TextModel(languages, got["lang"].to_numpy(int), got["slot"].to_numpy(int), got["n"].to_numpy(float))
 
 
-def _share(likelihoods: Column, i: int) -> Column:
-    """The text's own posterior of the i-th language."""
-    top = F.array_max(likelihoods)
-    return F.exp(likelihoods[i] - top) / F.aggregate(likelihoods, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+def shares(logs: list[float] | None) -> list[float] | None:
+    """The text's own posterior of each language."""
+    if logs is None:
+        return None
+    p = np.exp(np.array(logs) - max(logs))
+    return (p / p.sum()).tolist()
 
 
 def identify(df: DataFrame, model: TextModel, key: list[str], text: str, declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, domain: Column | None = None, markup: bool = False, least: float = 0.5) -> DataFrame:
@@ -105,31 +111,40 @@ def identify(df: DataFrame, model: TextModel, key: list[str], text: str, declare
     known = F.array(*[F.lit(v) for v in languages])
     clean = lambda c: F.when(F.array_contains(known, p := F.lower(F.split_part(c, F.lit("-"), F.lit(1)))), p)
     rows = df.select(*key, F.col(text).alias("__text"), (blank if declared is None else clean(declared)).alias("__declared"), (blank if suffix is None else clean(suffix)).alias("__suffix"), (blank if host is None else host).alias("__host"), (blank if domain is None else domain).alias("__domain"))
-    sent = df.sparkSession.sparkContext.broadcast(model)  # 2^16 numbers for each of at most 64 languages
+    sent = df.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in rows.columns if c != "__text"]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             texts = (SKIPPED.sub(" ", t) if markup and t else t for t in b["__text"])
-            yield {c: b[c] for c in kept} | {"__logs": [sent.value.likelihood(t) for t in texts]}
+            logs = [sent.value.likelihood(t) for t in texts]
+            yield {c: b[c] for c in kept} | {"__logs": logs, "__shares": [shares(x) for x in logs]}
 
-    schema = rows.drop("__text").schema.add("__logs", T.ArrayType(T.DoubleType()))
+    schema = rows.drop("__text").schema.add("__logs", T.ArrayType(T.DoubleType())).add("__shares", T.ArrayType(T.DoubleType()))
     scored = table(map_rows(rows, run, schema), "language-evidence")
-    shares = [_share(F.col("__logs"), i).alias(f"s{i}") for i in range(n)]
+    each = [F.col("__shares")[i].alias(f"s{i}") for i in range(n)]
     sums = lambda d, *by: d.groupBy(*by).agg(*[F.sum(F.coalesce(f"s{i}", F.lit(0.0))).alias(f"s{i}") for i in range(n)])
-    by_host = table(sums(scored.select("__domain", "__host", *shares), "__domain", "__host"), "hosts")
+    by_host = table(sums(scored.select("__domain", "__host", *each), "__domain", "__host"), "hosts")
     by_domain = sums(by_host, "__domain")
     total = np.array([x or 0.0 for x in sums(by_host).first()[:n]])
     world = (total + 1) / (total.sum() + n)
-    reliability = lambda c: confusion(sums(scored.where(F.col(c).isNotNull()).select(c, *shares), c).collect(), languages, c)
+    reliability = lambda c: confusion(sums(scored.where(F.col(c).isNotNull()).select(c, *each), c).collect(), languages, c)
     says, ends = reliability("__declared"), reliability("__suffix")
-    domains = by_domain.select("__domain", F.array(*[(F.col(f"s{i}") + HOST_WEIGHT * float(world[i])) / (sum(F.col(f"s{j}") for j in range(n)) + HOST_WEIGHT) for i in range(n)]).alias("__up"))
-    hosts = by_host.join(domains.withColumnRenamed("__domain", "d"), F.col("__domain").eqNullSafe(F.col("d")), "left").drop("d")
-    prior = hosts.select(F.col("__domain").alias("d"), F.col("__host").alias("h"), F.array(*[F.log((F.col(f"s{i}") + HOST_WEIGHT * F.col("__up")[i]) / (sum(F.col(f"s{j}") for j in range(n)) + HOST_WEIGHT)) for i in range(n)]).alias("__prior"))
+    # every expression grows with the number of languages, none with its square
+    held = F.array(*[F.col(f"s{i}") for i in range(n)])
+    world_at = F.array(*[F.lit(HOST_WEIGHT * float(x)) for x in world])
+    total_of = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) + HOST_WEIGHT
+    domains = by_domain.select(F.col("__domain").alias("d"), held.alias("__held")).select("d", F.zip_with("__held", world_at, lambda x, w: x + w).alias("__up"), total_of("__held").alias("__n"))
+    domains = domains.select("d", F.transform("__up", lambda x: x / F.col("__n")).alias("__up"))
+    hosts = by_host.select("__domain", "__host", held.alias("__held")).withColumn("__n", total_of("__held"))
+    hosts = hosts.join(domains, F.col("__domain").eqNullSafe(F.col("d")), "left").drop("d")
+    prior = hosts.select(F.col("__domain").alias("d"), F.col("__host").alias("h"), F.zip_with("__held", "__up", lambda x, up: F.log((x + HOST_WEIGHT * up) / F.col("__n"))).alias("__prior"))
     joined = scored.join(prior, F.col("__host").eqNullSafe(F.col("h")) & F.col("__domain").eqNullSafe(F.col("d")), "left").drop("d", "h")
-    # tables of languages by languages
-    pick = lambda t, c, i: reduce(lambda e, j: F.when(F.col(c) == languages[j], float(t[i, j])).otherwise(e), range(n), F.lit(0.0))
-    posterior = joined.withColumn("__post", F.array(*[F.col("__logs")[i] + F.col("__prior")[i] + pick(says, "__declared", i) + pick(ends, "__suffix", i) for i in range(n)]))
+    for c, t in (("__declared", says), ("__suffix", ends)):  # tables of languages by languages
+        said = df.sparkSession.createDataFrame([(v, t[:, j].tolist()) for j, v in enumerate(languages)], f"{c} string, {c}_log array<double>")
+        joined = joined.join(F.broadcast(said), c, "left")
+    plus = lambda a, b: F.zip_with(a, F.coalesce(b, F.array_repeat(F.lit(0.0), n)), lambda x, y: x + y)
+    posterior = joined.withColumn("__post", plus(plus(plus("__logs", F.col("__prior")), F.col("__declared_log")), F.col("__suffix_log")))
     best = F.array_max("__post")
     confidence = F.lit(1.0) / F.aggregate("__post", F.lit(0.0), lambda a, x: a + F.exp(x - best))
     name = lambda c: F.element_at(known, F.array_position(c, F.array_max(c)).cast("int"))
