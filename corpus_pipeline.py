@@ -31,9 +31,9 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: no letters, or no language with half of the probability. lang counts as declared, the source as the host."""
+    """Drops documents whose language can't be told: no letters, or no language with half of the probability. lang counts as declared, the source as the host. Where no row has a lang no language can be learnt, and only texts without letters are dropped."""
     if docs.where("lang is not null").isEmpty():
-        return docs
+        return _without(docs, language_id.letterless(docs.withColumn("__row", _row(docs)), "__row", "text"))
     model = language_id.train(docs)
     found = language_id.identify(docs.withColumn("__row", _row(docs)), model, ["__row"], "text", declared=F.col("lang"), host=F.col("source"))
     return _without(docs, found.where("lang is null"))

@@ -90,6 +90,16 @@ def train(docs: DataFrame, label: str = "lang", max_train: int = MAX_TRAIN) -> T
     return TextModel(languages, got["lang"].to_numpy(int), got["slot"].to_numpy(int), got["n"].to_numpy(float))
 
 
+def letterless(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The key column of rows whose text has no letter."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {key: [k for k, t in zip(b[key], b[text], strict=True) if not t or not LETTER.search(t)]}
+
+    return map_rows(df.select(key, text), run, df.select(key).schema)
+
+
 def shares(logs: list[float] | None) -> list[float] | None:
     """The text's own posterior of each language."""
     if logs is None:

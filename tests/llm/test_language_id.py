@@ -20,3 +20,13 @@ def test_every_label_is_learnt(spark):
     assert model.languages == names
     got = language_id.identify(docs, model, ["doc_id", "lang"], "text", declared=F.col("lang"), host=F.col("source")).toDF("doc_id", "true", "lang", "confidence", "text_lang", "declared", "suffix", "host").collect()
     assert len(got) == len(rows) and all(r.true == r.lang == r.text_lang == r.declared for r in got)
+
+
+def test_stage_without_labels_drops_letterless_texts(spark):
+    import corpus_pipeline
+
+    texts = [None, "", " 12 !!", "a", "çà 3", "½ _"]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(texts)], DOC)
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()}
+    assert kept == {i for i, t in enumerate(texts) if t and language_id.LETTER.search(t)}
+    assert not {0, 1, 2} & kept and {3, 4} <= kept
