@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -172,20 +173,24 @@ def measure(nodes: list[Node]) -> np.ndarray:
             p.stops += n.stops
     whole = max(1, nodes[0].size)
     rows = np.zeros((len(nodes), 20 + len(TAGS) + 2 * len(WORDS)), np.float32)
+    tags: dict[int, Counter] = {}  # of the children, by their parent
     under = [0] * len(nodes)  # bits of the kinds of ancestors
     kinds = {"nav": 1, "header": 2, "footer": 4, "aside": 8, "form": 16, "article": 32, "main": 64, "li": 128}
     for i, n in enumerate(nodes):
         p = n.parent
-        kin = [x for x in p.items if isinstance(x, Node)] if p else [n]
-        if p and not n.rank:
+        if p and p.index not in tags:
+            kin = [x for x in p.items if isinstance(x, Node)]
             for r, x in enumerate(kin):
                 x.rank = r + 1
             p.rank = p.rank or 1
+            tags[p.index] = Counter(x.tag for x in kin)
+        same = tags[p.index] if p else Counter([n.tag])
+        siblings = same.total()
         under[i] = (under[p.index] | kinds.get(p.tag, 0)) if p else 0
-        alike = sum(x.tag == n.tag for x in kin) if len(kin) < 200 else len(kin)
+        alike = same[n.tag]
         others = p.size - n.size if p else 0
         u = under[i]
-        row = [n.size, own[i], n.links / max(1, n.size), n.size / n.nodes, n.words, n.stops / max(1, n.words), n.depth, len(kin), alike, (n.rank or 1) / len(kin), others / max(1, len(kin) - 1), p.links / max(1, p.size) if p else 0, n.size / whole, n.nodes, *(float(bool(u & b)) for b in (1, 2, 4, 8, 16, 32 | 64))]
+        row = [n.size, own[i], n.links / max(1, n.size), n.size / n.nodes, n.words, n.stops / max(1, n.words), n.depth, siblings, alike, (n.rank or 1) / siblings, others / max(1, siblings - 1), p.links / max(1, p.size) if p else 0, n.size / whole, n.nodes, *(float(bool(u & b)) for b in (1, 2, 4, 8, 16, 32 | 64))]
         rows[i, :20] = row
         if n.tag in TAGS:
             rows[i, 20 + TAGS.index(n.tag)] = 1

@@ -1,0 +1,12 @@
+"""Features of pages with many siblings."""
+
+from tessella.llm import html_main
+
+ALIKE = 8
+
+
+def test_alike_counts_the_same_tag_only():
+    nodes = html_main.parse("<html><body>" + "<p>some text here.</p>" * 220 + "<aside>links</aside></body></html>")
+    rows = html_main.measure(nodes)
+    got = {n.tag: rows[i, ALIKE] for i, n in enumerate(nodes)}
+    assert got["aside"] == 1 and got["p"] == 220
