@@ -1,10 +1,16 @@
 """Near copies: groups of texts whose sets of word shingles have at least a given Jaccard similarity.
 
-Every pair is found, none by luck: in one common order of all shingles, two sets
-that similar share one of their first n - ceil(least * n) + 1 (prefix filter).
-Those prefixes are indexed, so the order puts rare shingles first; how common
-one is comes from a sample, which decides how fast the search is, never what it
-finds. Candidates that sizes and places allow are verified by the whole sets.
+First comes SimHash (simhash): texts whose fingerprints over the same shingles
+differ in at most three bits are found by deletion-variant signatures, and each
+is compared by its set with the fingerprint's first text. This joins the dense
+groups of copies, however large, in nearly linear time. Fingerprints can't find
+the rest, as a pair of similarity 0.8 differs in about ten bits of 64; so an
+exact search follows for similar texts of different groups, none found by luck:
+in one common order of all shingles, two sets that similar share one of their
+first n - ceil(least * n) + 1 (prefix filter). Those prefixes are indexed, so the
+order puts rare shingles first; how common one is comes from a sample, which
+decides how fast the search is, never what it finds. Candidates that sizes and
+places allow are verified by the whole sets.
 
 Texts of one set are one entry. A key of more than `bucket` entries is never
 gathered: its members are first compared with one of them, another for each key,
@@ -23,28 +29,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm import simhash
 from tessella.llm.common import map_rows, parts, table
 from tessella.llm.graph import components
 from tessella.llm.lm_score import level
 
 WIDTH, LEAST = 5, 0.8
 #: For the order only: so many texts are sampled, and so many shingles are sent to all workers (16 bytes each).
-SAMPLE, COMMON = 50_000, 200_000
+SAMPLE, COMMON = 6_000, 200_000
 #: Up to so many set names are sent to all workers; more are joined by a shuffle.
 BROADCAST_SETS = 1_000_000
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Distinct XXH64 of the shingles, sorted; too few words are one shingle, none give none."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode().lower().split()
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return np.array([xxh64_intdigest(joined)] if words else [], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = [0, *ends[: len(words) - width].tolist()]
-    return np.unique(np.array([xxh64_intdigest(joined[s:e]) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64))
+    """Distinct hashes of the shingles, sorted; too few words are one shingle, none give none."""
+    return np.unique(simhash.shingle_hashes((text or "").encode().lower().split(), width))
 
 
 def prefix_length(n: int, least: float) -> int:
@@ -58,10 +57,10 @@ def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             u, n = np.unique(np.concatenate([shingles(t, width) for t in b["text"]]), return_counts=True)
-            yield {"key": u.view(np.int64).tolist(), "n": n.tolist()}
+            yield {"key": u.view(np.int64), "n": n}
 
     taken = rows.where(F.pmod(F.xxhash64(F.lit("order"), "row"), F.lit(1 << 20)) < share).select("text")
-    found = table(map_rows(taken, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 4"), "common-shingles")
+    found = table(map_rows(taken, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 3"), "common-shingles")
     got = found.where(F.col("n") >= level(found, COMMON)).toPandas()
     key, n = got["key"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
     at = np.argsort(key)
@@ -76,25 +75,27 @@ def _name(u: np.ndarray) -> int:
 
 
 def _sets(rows: DataFrame, width: int, least: float) -> DataFrame:
-    """row, id, name (a hash of the set), size and prefix of row, id, text."""
+    """row, id, name (a hash of the set), size, prefix and fp (fingerprint) of row, id, text."""
     order = rows.sparkSession.sparkContext.broadcast(_common(rows, width))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         key, n = order.value
         for b in batches:
-            out: dict[str, list] = {"row": b["row"], "id": b["id"], "name": [], "size": [], "prefix": []}
+            out: dict[str, list] = {"row": b["row"], "id": b["id"], "name": [], "size": [], "prefix": [], "fp": []}
             for t in b["text"]:
-                u = shingles(t, width)
+                hashes = simhash.shingle_hashes((t or "").encode().lower().split(), width)
+                u, fp = np.unique(hashes), simhash.majority(hashes)
                 count = np.zeros(len(u), np.int64)
                 if len(key):
                     at = np.minimum(np.searchsorted(key, u), len(key) - 1)
                     count = np.where(key[at] == u, n[at], 0)
                 out["name"].append(_name(u))
                 out["size"].append(len(u))
-                out["prefix"].append(u[np.lexsort((u, count))[: prefix_length(len(u), least)]].view(np.int64).tolist())
+                out["prefix"].append(u[np.lexsort((u, count))[: prefix_length(len(u), least)]].view(np.int64))
+                out["fp"].append(fp - (fp >> 63 << 64))
             yield out
 
-    schema = rows.select("row", "id").schema.add("name", "long").add("size", "integer").add("prefix", T.ArrayType(T.LongType()))
+    schema = rows.select("row", "id").schema.add("name", "long").add("size", "integer").add("prefix", T.ArrayType(T.LongType())).add("fp", "long")
     return map_rows(rows.select("row", "id", "text"), run, schema)
 
 
@@ -105,18 +106,18 @@ def _possible(n, i, m, j, least: float):
 
 
 def _walk(bucket: int, least: float):
-    """Over rows (key, name, pos, size) sorted by key: candidates (a, b), and members (key, a, pos, size; b null) of keys larger than `bucket`."""
-    names, kinds = ["key", "a", "b", "pos", "size"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    """Over rows (key, name, grp, pos, size) sorted by key: candidates (a, b) of different groups, and members (key, a, grp, pos, size; b null) of keys larger than `bucket`."""
+    names, kinds = ["key", "a", "b", "grp", "pos", "size"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def batch(n: int, **cols: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, name, pos, size = (np.empty(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
+        key, name, grp, pos, size = (np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32))
         large = None  # the key that is handed on already and may go on
         for more in itertools.chain(batches, [None]):
             if more is not None:
-                key, name, pos, size = (np.concatenate((x, more.column(k).to_numpy())) for k, x in enumerate((key, name, pos, size)))
+                key, name, grp, pos, size = (np.concatenate((x, more.column(k).to_numpy())) for k, x in enumerate((key, name, grp, pos, size)))
             if not len(key):
                 continue
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -124,7 +125,7 @@ def _walk(bucket: int, least: float):
             out = (length > bucket) | (False if large is None else key[starts] == large)
             if out.any():
                 take = np.repeat(out, length)
-                yield batch(int(take.sum()), key=key[take], a=name[take], pos=pos[take], size=size[take])
+                yield batch(int(take.sum()), key=key[take], a=name[take], grp=grp[take], pos=pos[take], size=size[take])
             if out[-1]:
                 large = key[-1]
             whole = np.ones(len(starts), bool)
@@ -135,13 +136,15 @@ def _walk(bucket: int, least: float):
                 first = starts[whole & ~out & (length == k)]
                 for some in np.array_split(first, 1 + len(first) * len(i) // 1_000_000):
                     x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
-                    ok = _possible(size[x], pos[x], size[y], pos[y], least)
+                    ok = (grp[x] != grp[y]) & _possible(size[x], pos[x], size[y], pos[y], least)
                     pairs_a.append(np.minimum(name[x[ok]], name[y[ok]]))
                     pairs_b.append(np.maximum(name[x[ok]], name[y[ok]]))
             a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
+            if len(a):
+                a, b = np.unique(np.stack((a, b)), axis=1)
             yield batch(len(a), a=a, b=b)
             keep = len(key) if out[-1] else starts[-1]
-            key, name, pos, size = key[keep:], name[keep:], pos[keep:], size[keep:]
+            key, name, grp, pos, size = key[keep:], name[keep:], grp[keep:], pos[keep:], size[keep:]
 
     return run
 
@@ -153,46 +156,64 @@ def _verified(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, width: int,
     if wanted.count() <= BROADCAST_SETS:
         wanted = F.broadcast(wanted)
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
+    def sets_of(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             found = [shingles(t, width) for t in b["text"]]
-            yield {"name": [_name(u) for u in found], "hashes": [u.view(np.int64).tolist() for u in found]}
+            yield {"name": [_name(u) for u in found], "hashes": [u.tobytes() for u in found]}
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in b.column(k)] for k in (2, 3))
+            both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], np.int64)
+            either = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - both
+            yield b.select(["a", "b"]).filter(pa.array(both >= either * least - 1e-9))
 
     texts = rows.select("row", "text").join(wanted, "row", "left_semi").dropDuplicates(["row"]).select("text")
-    sets = table(map_rows(texts, run, "name long, hashes array<long>"), "candidate-sets")
+    sets = table(map_rows(texts, sets_of, "name long, hashes binary"), "candidate-sets")
     side = lambda c: sets.select(F.col("name").alias(c), F.col("hashes").alias(f"{c}_set"))
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    return table(pairs.join(side("a"), "a").join(side("b"), "b").where(both >= (F.size("a_set") + F.size("b_set") - both) * least - 1e-9).select("a", "b"), "near-pairs")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
+    return table(both.mapInArrow(compared, "a long, b long"), "near-pairs")
 
 
 def _labelled(df: DataFrame, links: DataFrame) -> DataFrame:
-    """df with component: the least name that is linked to its name."""
-    found = components(links).withColumnRenamed("node", "name")
-    return df.join(found, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    """df with grp: the least name that is linked to its name."""
+    found = components(links).select(F.col("node").alias("name"), F.col("component").alias("grp"))
+    return df.join(found, "name", "left").withColumn("grp", F.coalesce("grp", "name"))
+
+
+def _by_fingerprint(firsts: DataFrame) -> DataFrame:
+    """Candidates a, b: each set with the first of its fingerprint, and the first ones of fingerprints within three bits."""
+    leads = table(firsts.groupBy("fp").agg(F.min("name").alias("lead")), "fingerprints")
+    same = firsts.select("name", "fp").join(leads, "fp").where("name <> lead").select(F.col("lead").alias("a"), F.col("name").alias("b"))
+    lead = lambda c: leads.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead"))
+    near = simhash.links(leads.select("fp")).join(lead("a"), "a").join(lead("b"), "b")
+    return same.unionByName(near.select(F.least("a_lead", "b_lead").alias("a"), F.greatest("a_lead", "b_lead").alias("b")))
 
 
 def groups(rows: DataFrame, width: int = WIDTH, least: float = LEAST, bucket: int = 64) -> DataFrame:
     """first (no_id, id, row) and component of every distinct set of row, id, text; first is the entry of the least id, nulls last, then the least row.
 
-    row must name id and text. A null text counts as an empty one, and all texts without words are one set.
+    row must name id and text. A null text counts as an empty one, and all texts
+    without words are one set. Repeated rows are one entry; an empty table has no groups.
     """
     sets = table(_sets(rows, width, least), "shingle-sets")
     entry: Column = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
-    firsts = table(sets.groupBy("name").agg(entry.alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "distinct-sets")
+    firsts = table(sets.groupBy("name").agg(entry.alias("first"), *[F.first(c).alias(c) for c in ("size", "prefix", "fp")]), "distinct-sets")
     by_row = firsts.select("name", F.col("first.row").alias("row"))
-    posts = firsts.select("name", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "name", "pos", "size")
-    walked = table(posts.repartition(parts(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_walk(bucket, least), "key long, a long, b long, pos int, size int"), "walked")
+    links = _verified(_by_fingerprint(firsts), by_row, rows, width, least)
+    posts = _labelled(firsts.select("name", "size", "prefix"), links).select("name", "grp", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "name", "grp", "pos", "size")
+    walked = table(posts.repartition(parts(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_walk(bucket, least), "key long, a long, b long, grp long, pos int, size int"), "walked")
     pairs = walked.where("b is not null").select("a", "b")
-    large = walked.where("b is null").select("key", F.col("a").alias("name"), "pos", "size")
+    large = walked.where("b is null").select("key", F.col("a").alias("name"), "grp", "pos", "size")
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    one = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "name").alias("h"), "name", "pos", "size")).alias("one"))
-    near_one = large.join(one, "key").where((F.col("name") != F.col("one.name")) & _possible(F.col("size"), F.col("pos"), F.col("one.size"), F.col("one.pos"), least))
-    links = _verified(pairs.union(near_one.select(*ordered("name", "one.name"))), by_row, rows, width, least)
+    one = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "name").alias("h"), "name", "grp", "pos", "size")).alias("one"))
+    near_one = large.join(one, "key").where((F.col("grp") != F.col("one.grp")) & _possible(F.col("size"), F.col("pos"), F.col("one.size"), F.col("one.pos"), least))
+    links = links.union(_verified(pairs.union(near_one.select(*ordered("name", "one.name"))), by_row, rows, width, least))
     if not large.isEmpty():
-        left = _labelled(large, links)
-        mixed = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        left = _labelled(large.drop("grp"), links)
+        mixed = left.groupBy("key").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("key")
         left = table(left.join(mixed, "key", "left_semi"), "large-keys")
         x, y = left.alias("x"), left.alias("y")
-        apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.name") < F.col("y.name")) & (F.col("x.component") != F.col("y.component")) & _possible(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos"), least))
+        apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.name") < F.col("y.name")) & (F.col("x.grp") != F.col("y.grp")) & _possible(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos"), least))
         links = links.union(_verified(apart.select(F.col("x.name").alias("a"), F.col("y.name").alias("b")), by_row, rows, width, least))
-    return _labelled(firsts.select("name", "first"), links).select("first", "component")
+    return _labelled(firsts.select("name", "first"), links).select("first", F.col("grp").alias("component"))

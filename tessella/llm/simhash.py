@@ -55,26 +55,37 @@ def level_masks() -> list[np.ndarray]:
     return levels
 
 
-def fingerprint(words: list[bytes], width: int) -> int:
-    """Majority bits of the XXH64 (seed 42) of all shingles, repeats included; too few words are one shingle, none give 0."""
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """The XXH64 (seed 42) of all shingles, repeats included; too few words are one shingle, none give none."""
     from xxhash import xxh64_intdigest
 
-    if not words:
-        return 0
-    if len(words) <= width:
-        return xxh64_intdigest(b" ".join(words), 42)
     joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxh64_intdigest(joined, 42)] if words else [], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[: len(words) - width].tolist()]
-    hashes = np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], "<u8")
-    n, ones = len(hashes), np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 15):
+    return np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 15):
         ones += np.unpackbits(hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(words: list[bytes], width: int) -> int:
+    """Majority bits of the shingles' hashes; no words give 0."""
+    return majority(shingle_hashes(words, width))
 
 
 def fingerprints(df: DataFrame, width: int = 3, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, the columns of `keep` and fp (the fingerprint's bits as a signed long) of doc_id, text. A null text counts as an empty one."""
+    """doc_id, the columns of `keep` and fp (the fingerprint's bits as a signed long) of doc_id, text.
+
+    A null text counts as an empty one, and an empty or blank one gives zero.
+    Repeated rows stay, an empty table gives no rows, other columns are not read.
+    """
     names = ["doc_id", *(keep or [])]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
