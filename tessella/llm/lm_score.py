@@ -1,17 +1,16 @@
 """Language-model scores: context-tree weighting over bytes, beside a unigram word score.
 
-The model predicts the bytes of the lower-cased text and a final zero byte,
-each as eight binary decisions. Every decision has a tree of contexts of zero
-to `depth` bytes; each node has a Krichevsky-Trofimov estimate of its counts,
-and the estimates of all depths are mixed by the weights that context-tree
-weighting gives them on the training texts. A context that was never seen, or
-whose count fell under the pruning level, ends the path: the mixture then goes
-over the shallower ones. All counts cover every training text; the level is the
-least one at which no more than `max_grams` of the deepest entries stay.
+The model predicts the bytes of the lower-cased text and its end by
+context-tree weighting (context_tree): estimates of all depths up to `depth`
+bytes are mixed by the weights that the training texts give them. All byte
+strings of all training texts count; none is cut, at any size.
 
 Counts of words and of byte strings are summed by key over the cluster. The
-words with the largest counts are sent to all workers (at most `head`); the
-rest are looked up by an equality join, so that no vocabulary need fit a worker.
+trees are computed in parts, each where its byte strings lie, and meet in a top
+of bounded size. The words and the byte strings with the largest counts are
+sent to all workers (at most `head` and `head_grams`); what else a text holds is
+looked up by an equality join, so that neither a vocabulary nor a model need
+fit a worker. The heads decide how fast this goes, not what comes out.
 """
 
 from __future__ import annotations
@@ -21,32 +20,24 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import crc_mod, map_rows, table
+from tessella.llm.common import crc_mod, map_rows, parts, table
+from tessella.llm.context_tree import TOP, Subtrees, Top, grams
 
-DEPTH = 4
-MAX_GRAMS = 1_000_000
+DEPTH = 5
 HEAD = 150_000
+HEAD_GRAMS = 1_000_000
 CHUNK = 1 << 21
+#: Byte strings that a worker computes at once, if their subtrees allow a cut.
+STRETCH = 1 << 19
 WORD, GRAM, END = 0, 1, 2
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The byte strings (context and byte, as one number) of all texts in order, and where each text's begin. A text has its bytes and one end."""
-    pad = bytes(depth)
-    raw = np.frombuffer(b"".join(x for t in texts for x in (pad, t, b"\0")), np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    begins = np.cumsum(sizes + depth) - sizes - depth
-    starts = np.cumsum(sizes) - sizes
-    at = np.arange(sizes.sum()) + np.repeat(begins - starts, sizes)
-    key = np.zeros(len(raw) - depth, np.uint64)
-    for k in range(depth + 1):
-        key = (key << np.uint64(8)) | raw[k : len(raw) - depth + k]
-    return key[at], starts
+_NONE = np.uint64(1) << np.uint64(63)  # no byte string: they have fewer bits
+_EMPTY = np.empty(0, np.int64)
 
 
 def pieces_of(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -71,11 +62,11 @@ def counts(df: DataFrame, depth: int) -> DataFrame:
         words: Counter = Counter()
         keys, ns, held, ends = [], [], 0, 0
 
-        def put(kind: int, key: list[int], n: list[int]) -> dict:
-            return {"kind": [kind] * len(key), "key": key, "n": n}
+        def put(kind: int, key, n) -> dict:
+            return {"kind": np.full(len(key), kind, np.int32), "key": key, "n": n}
 
         def flush_words() -> dict:
-            out = put(WORD, np.array([xxh64_intdigest(w) for w in words], np.uint64).view(np.int64).tolist(), list(words.values()))
+            out = put(WORD, np.array([xxh64_intdigest(w) for w in words], np.uint64).view(np.int64), list(words.values()))
             words.clear()
             return out
 
@@ -98,7 +89,7 @@ def counts(df: DataFrame, depth: int) -> DataFrame:
                 if held > 2_000_000:
                     u, n = merged()
                     if len(u) > 1_000_000:
-                        yield put(GRAM, u.view(np.int64).tolist(), n.tolist())
+                        yield put(GRAM, u.view(np.int64), n)
                         keys, ns, held = [], [], 0
                     else:
                         keys, ns, held = [u], [n], len(u)
@@ -106,7 +97,7 @@ def counts(df: DataFrame, depth: int) -> DataFrame:
             yield flush_words()
         if keys:
             u, n = merged()
-            yield put(GRAM, u.view(np.int64).tolist(), n.tolist())
+            yield put(GRAM, u.view(np.int64), n)
         yield put(END, [0], [ends])
 
     return map_rows(df.select("text"), run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -123,92 +114,16 @@ def level(df: DataFrame, most: int) -> int:
     return least
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """ln of the gamma function for x >= 0.5."""
-    shift = np.zeros_like(x)
-    z = x.copy()
-    while (low := z < 8).any():
-        shift[low] += np.log(z[low])
-        z[low] += 1
-    i = 1 / z
-    return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + i * (1 / 12 - i * i * (1 / 360 - i * i * (1 / 1260 - i * i / 1680))) - shift
-
-
-def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - math.log(math.pi)
-
-
-def decisions(key: np.ndarray, n: np.ndarray, bit: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes (context of `depth` bytes, the byte's first `bit` bits) with their counts of zeros and ones."""
-    symbol = key & np.uint64(255)
-    node = (np.uint64(1) << np.uint64(bit)) | (symbol >> np.uint64(8 - bit))
-    context = (key >> np.uint64(8)) & np.uint64((1 << (8 * depth)) - 1)
-    one = (symbol >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
-    u, at = np.unique((context << np.uint64(8)) | node, return_inverse=True)
-    return u, np.bincount(at, np.where(one, 0, n), len(u)), np.bincount(at, np.where(one, n, 0), len(u))
-
-
-class ContextTree:
-    """For each bit and depth the nodes' keys and mixed probabilities of a one when the path ends there; for whole byte strings their log10 probability."""
-
-    def __init__(self, key: np.ndarray, n: np.ndarray, depth: int, deep: np.ndarray | None = None):
-        """deep: which byte strings keep the full depth; of the others only the shallower contexts count."""
-        self.depth = depth
-        deep = np.ones(len(key), bool) if deep is None else deep
-        self.nodes: list[list[tuple[np.ndarray, np.ndarray]]] = []
-        for bit in range(8):
-            trees = [decisions(key, n, bit, d) if d < depth else decisions(key[deep], n[deep], bit, d) for d in range(depth + 1)]
-            logs = [log_kt(a, b) for _, a, b in trees]
-            up = [np.searchsorted(trees[d - 1][0], trees[d][0] & np.uint64((1 << (8 * d)) - 1)) for d in range(1, depth + 1)]
-            weighted, own = logs[depth], [np.empty(0)] * depth
-            for d in range(depth - 1, -1, -1):
-                u, a, b = trees[d]
-                below = np.bincount(up[d], weighted, len(u)).astype(float)
-                rest_a = np.maximum(a - np.bincount(up[d], trees[d + 1][1], len(u)), 0.0)
-                rest_b = np.maximum(b - np.bincount(up[d], trees[d + 1][2], len(u)), 0.0)
-                below += np.where(rest_a + rest_b > 0, log_kt(rest_a, rest_b), 0)
-                own[d] = 1 / (1 + np.exp(np.clip(below - logs[d], -700, 700)))  # this depth's share against the deeper ones
-                weighted = np.logaddexp(logs[d], below) - math.log(2)
-            base, share, tables = np.zeros(len(trees[0][0])), np.ones(len(trees[0][0])), []
-            for d in range(depth + 1):
-                u, a, b = trees[d]
-                one = (b + 0.5) / (a + b + 1)
-                if d:
-                    p = up[d - 1]
-                    base, share = base[p] + share[p] * own[d - 1][p] * before[p], share[p] * (1 - own[d - 1][p])
-                tables.append((u, (base + share * one).astype(np.float32)))
-                before = one
-            self.nodes.append(tables)
-        kept = key[deep] if len(key) else key
-        self._index(kept, self.slow(kept))
-
-    def slow(self, key: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the last byte of each byte string, by looking up its eight decisions."""
-        total = np.zeros(len(key))
-        symbol = key & np.uint64(255)
-        for bit, tables in enumerate(self.nodes):
-            node = (np.uint64(1) << np.uint64(bit)) | (symbol >> np.uint64(8 - bit))
-            p, open_ = np.full(len(key), 0.5), np.ones(len(key), bool)
-            for d in range(self.depth, -1, -1):
-                u, one = tables[d]
-                if len(u) and open_.any():
-                    at = np.flatnonzero(open_)
-                    want = (((key[at] >> np.uint64(8)) & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | node[at]
-                    where = np.minimum(np.searchsorted(u, want), len(u) - 1)
-                    hit = u[where] == want
-                    p[at[hit]] = one[where[hit]]
-                    open_[at[hit]] = False
-            total += np.log10(np.clip(np.where(symbol >> np.uint64(7 - bit) & np.uint64(1), p, 1 - p), 1e-12, 1))
-        return total
-
-    def _index(self, key: np.ndarray, value: np.ndarray) -> None:
-        """An open-addressing table of the byte strings that were seen."""
+class Head:
+    """An open-addressing table of byte strings with the log10 of their last symbol's probability."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
         self.bits = max(4, int(len(key) * 2.5).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, np.uint64(1) << np.uint64(63)), np.zeros(1 << self.bits, np.float32)
+        self.keys, self.values = np.full(1 << self.bits, _NONE), np.zeros(1 << self.bits, np.float32)
         left = np.arange(len(key))
         slot = self._slot(key)
         while len(left):
-            free = self.keys[slot[left]] == np.uint64(1) << np.uint64(63)
+            free = self.keys[slot[left]] == _NONE
             at = left[free]
             self.keys[slot[at]] = key[at]
             placed = np.zeros(len(left), bool)
@@ -220,31 +135,93 @@ class ContextTree:
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key * _GOLD) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def log10(self, key: np.ndarray) -> np.ndarray:
+    def look_up(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values, 0 for what the table lacks, and the places of the latter."""
         slot = self._slot(key)
         got, out = self.keys[slot], self.values[slot]
         wrong = np.flatnonzero(got != key)
-        missing = []
+        missing = [np.empty(0, np.int64)]
         while len(wrong):
-            empty = self.keys[slot[wrong]] == np.uint64(1) << np.uint64(63)
+            out[wrong] = 0
+            empty = self.keys[slot[wrong]] == _NONE
             missing.append(wrong[empty])
             wrong = wrong[~empty]
             slot[wrong] = (slot[wrong] + 1) & ((1 << self.bits) - 1)
             hit = self.keys[slot[wrong]] == key[wrong]
             out[wrong[hit]] = self.values[slot[wrong[hit]]]
             wrong = wrong[~hit]
-        if missing and len(at := np.concatenate(missing)):
-            u, back = np.unique(key[at], return_inverse=True)
-            out[at] = self.slow(u)[back]
-        return out
+        return out, np.concatenate(missing)
+
+
+def subtree_of(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(9)) & np.uint64((1 << 8 * (TOP + 1)) - 1)
+
+
+def by_subtree(found: DataFrame, fn, schema: str) -> DataFrame:
+    """mapInArrow over key, n, wanted, in batches that hold their subtrees whole. fn gets arrays and yields lists of arrays."""
+    subtree = F.shiftrightunsigned("key", 9).bitwiseAND(F.lit((1 << 8 * (TOP + 1)) - 1))
+    rows = found.select("key", "n", "wanted").repartition(parts(found.sparkSession), subtree).sortWithinPartitions(subtree)
+    names = [f.strip().split()[0] for f in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out(key: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in fn(key, n, wanted)], names=names)
+
+        def joined() -> list[np.ndarray]:
+            return [np.concatenate(c) for c in zip(*held, strict=True)]
+
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(float), b.column(2).to_numpy(zero_copy_only=False)))
+                size += b.num_rows
+            if size >= STRETCH:
+                key, n, wanted = joined()
+                tree = subtree_of(key)
+                cut = int(np.flatnonzero(tree != tree[-1])[-1]) + 1 if tree[0] != tree[-1] else 0
+                yield from out(key[:cut], n[:cut], wanted[:cut])
+                held, size = [(key[cut:], n[cut:], wanted[cut:])], len(key) - cut
+        if held:
+            yield from out(*joined())
+
+    return rows.mapInArrow(run, schema)
+
+
+def top_of(found: DataFrame, depth: int) -> Top:
+    """The top of the trees of the byte strings key, n: gathered on the driver, 256 decisions for each of 65,536 contexts at most."""
+
+    def part(key: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+        return Subtrees(key, n, depth).for_top()
+
+    made = by_subtree(found.withColumn("wanted", F.lit(False)), part, "node long, a double, b double, below double")
+    got = made.groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below")).toArrow()
+    cols = [c.combine_chunks().to_numpy() for c in got.columns]
+    return Top(cols[0].view(np.uint64), *cols[1:])
 
 
-def score(df: DataFrame, folds: int = 10, depth: int = DEPTH, max_grams: int = MAX_GRAMS, head: int = HEAD) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of doc_id, text.
+def gram_values(found: DataFrame, top, depth: int) -> DataFrame:
+    """key, value (log10 of the probability) of the rows key, n, wanted that are wanted; n of 0 is no count. top: a broadcast Top."""
 
-    Null and empty texts have the end as their only token. Repeated rows each
-    have their result. Without any training text counts are zero and every
-    decision has probability one half; an empty table gives no rows.
+    def part(key: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
+        asked = np.unique(key[wanted])
+        if not len(asked):
+            return asked, np.empty(0)
+        seen = n > 0
+        return asked, Subtrees(key[seen], n[seen], depth).log10(asked, top.value)
+
+    return by_subtree(found, part, "key long, value double")
+
+
+def score(df: DataFrame, folds: int = 10, depth: int = DEPTH, head: int = HEAD, head_grams: int = HEAD_GRAMS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row of doc_id, text.
+
+    bits_per_byte is the code length of the text and its end over the text's
+    bytes (over one for an empty text). Null and empty texts have the end as
+    their only token. Repeated rows each have their result. Without any
+    training text counts are zero and every decision has probability one half;
+    an empty table gives no rows. Columns but doc_id and text are not read.
     """
     sc = df.sparkSession.sparkContext
     rows = df.select("doc_id", "text", (crc_mod("doc_id", folds) == 0).alias("held_out"))
@@ -254,28 +231,33 @@ def score(df: DataFrame, folds: int = 10, depth: int = DEPTH, max_grams: int = M
     n_of = lambda kind, what="n": sums[kind][what] if kind in sums else 0
     ends = n_of(END)
     total, vocabulary = n_of(WORD) + ends, n_of(WORD, "distinct") + (ends > 0)
-    found = counted.where(f"kind = {GRAM}")
-    kept = level(found, max_grams)
-    deep = F.col("n") >= kept
-    short = F.col("key").bitwiseAND(F.lit((1 << (8 * depth)) - 1))  # without the farthest byte
-    got = found.groupBy(F.when(deep, F.col("key")).otherwise(short).alias("key"), deep.alias("deep")).agg(F.sum("n").alias("n")).toPandas()  # bounded by max_grams and the strings one byte shorter
-    got = got.sort_values(["key", "deep"])
-    tree = sc.broadcast(ContextTree(got["key"].to_numpy().view(np.uint64), got["n"].to_numpy(float), depth, got["deep"].to_numpy(bool)))
-    top = words.where(F.col("n") >= level(words, head)).toPandas()
-    frequent = sc.broadcast(dict(zip(top["key"].tolist(), top["n"].tolist(), strict=True)))  # at most `head` words
+    found = counted.where(f"kind = {GRAM}").select("key", "n")
+    top = sc.broadcast(top_of(found, depth))
+    common = F.col("n") >= level(found, head_grams)
+    got = gram_values(found.withColumn("wanted", common), top, depth).toArrow()  # at most head_grams rows of two numbers
+    near = sc.broadcast(Head(*(got[c].combine_chunks().to_numpy().view(t) for c, t in (("key", np.uint64), ("value", np.float64)))))
+    most = words.where(F.col("n") >= level(words, head)).toPandas()
+    frequent = sc.broadcast(dict(zip(most["key"].tolist(), most["n"].tolist(), strict=True)))  # at most `head` words
     end_part = math.log10(ends + 0.1)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         from xxhash import xxh64_intdigest
 
-        model, known, memo = tree.value, frequent.value, {}
+        model, known, memo = near.value, frequent.value, {}
         row = TaskContext.get().partitionId() << 36
         for b in batches:
             texts = [(t or "").encode().lower() for t in b["text"]]
-            out: dict[str, list] = {k: [] for k in ("row", "doc_id", "held_out", "n_tokens", "known", "part", "score", "rare", "times")}
+            out: dict[str, list] = {k: [] for k in ("row", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "part", "score", "rare", "times", "rare_grams", "gram_times")}
             for some in pieces_of(texts):
-                key, starts = grams(some, model.depth)
-                out["score"] += np.add.reduceat(model.log10(key).astype(float), starts).tolist()
+                key, starts = grams(some, depth)
+                value, missing = model.look_up(key)
+                out["score"] += np.add.reduceat(value.astype(float), starts).tolist()
+                missing.sort()
+                cuts = np.searchsorted(missing, np.append(starts, len(key)))
+                for at, to in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    u, n = np.unique(key[missing[at:to]], return_counts=True) if to > at else (_EMPTY, _EMPTY)
+                    out["rare_grams"].append(u.view(np.int64))
+                    out["gram_times"].append(n)
             for doc, held, text in zip(b["doc_id"], b["held_out"], texts, strict=True):
                 split = text.split()
                 part, seen, rare, times = end_part, int(ends > 0), [], []
@@ -293,20 +275,32 @@ def score(df: DataFrame, folds: int = 10, depth: int = DEPTH, max_grams: int = M
                     else:
                         part += k * had[1]
                         seen += k
-                for name, v in zip(("row", "doc_id", "held_out", "n_tokens", "known", "part", "rare", "times"), (row, doc, held, len(split) + 1, seen, part, rare, times), strict=True):
+                for name, v in zip(("row", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "part", "rare", "times"), (row, doc, held, len(split) + 1, len(text), seen, part, rare, times), strict=True):
                     out[name].append(v)
                 row += 1
             yield out
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, part double, score double, rare array<long>, times array<int>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, part double, score double, rare array<long>, times array<long>, rare_grams array<long>, gram_times array<long>"
     partial = table(map_rows(rows, run, schema), "scores")
-    rare = partial.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    looked_up = rare.join(words, "key", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"))
-    joined = partial.drop("rare", "times").join(looked_up, "row", "left")
+    left = lambda kind, keys, times: partial.select("row", F.inline(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times")))).withColumn("kind", F.lit(kind))
+    rare_grams = left(GRAM, "rare_grams", "gram_times")
+    asked = found.withColumn("wanted", F.lit(False)).unionByName(rare_grams.select("key").distinct().select("key", F.lit(0).cast("long").alias("n"), F.lit(True).alias("wanted")))
+    values = words.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")).unionByName(gram_values(asked, top, depth).withColumn("kind", F.lit(GRAM)))
+    joined = left(WORD, "rare", "times").unionByName(rare_grams).join(values, ["kind", "key"], "left")
+    word = F.col("kind") == WORD
+    looked_up = joined.groupBy("row").agg(
+        F.sum(F.when(word & F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
+        F.sum(F.when(word, F.col("times") * F.log10(F.coalesce("value", F.lit(0.0)) + F.lit(0.1))).otherwise(0.0)).alias("more"),
+        F.sum(F.when(word, 0.0).otherwise(F.col("times") * F.col("value"))).alias("more_score"),
+    )
+    whole = partial.drop("rare", "times", "rare_grams", "gram_times").join(looked_up, "row", "left")
     log_all = math.log10(total + 0.1 * (vocabulary + 1))
-    return joined.select(
+    zero = F.lit(0.0)
+    model_score = F.col("score") + F.coalesce("more_score", zero)
+    return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("part") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(log_all)).alias("base_score"), "score",
+        (F.col("part") + F.coalesce("more", zero) - F.col("n_tokens") * F.lit(log_all)).alias("base_score"), model_score.alias("score"),
+        (-model_score / math.log10(2) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
 
 
