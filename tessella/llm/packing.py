@@ -96,12 +96,13 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
 def best_fit(df: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to pieces with a column length (1 to capacity). Input columns stay as they are.
 
-    df must read the same rows again on a second pass, such as a written table.
-    Equal rows share nothing: each is placed. Null or non-positive lengths and
-    lengths over the capacity raise an error; an empty table gives an empty one.
+    Pieces of one length are numbered within salts dealt by place in the input,
+    so neither a common length nor a common id is one task. Equal rows share
+    nothing: each is placed, and which of them comes first is left open. Null
+    or non-positive lengths and lengths over the capacity raise an error; an
+    empty table gives an empty one.
     """
-    salts = parts(df.sparkSession)
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = table(df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(parts(df.sparkSession))).cast("int")), "pieces")
     by_salt = table(salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n")), "lengths")
     counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("__n").alias("n")).limit(capacity + 2).collect()}
     if any(k is None or not 0 < k <= capacity for k in counts):
@@ -131,5 +132,10 @@ def op5_pack(spark, sf_dir: str, capacity: int = 4096, end_id: int = 1, file: st
 
 
 def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, file: str = TOKENIZER_FILE) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and empty texts are one piece, the end id."""
-    return best_fit(table(pieces(docs, file, end_id, capacity), "pieces"), capacity)
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are one piece, the end id. Repeated rows and rows
+    without an id are each packed. No rows, no pieces; columns but doc_id and
+    text are not read.
+    """
+    return best_fit(pieces(docs, file, end_id, capacity), capacity)

@@ -5,8 +5,10 @@ documents' ids and counts, then for each document its control bytes (two bits
 a value: its bytes less one) and, apart from them, its data bytes. The values
 are ranks of ids by falling corpus frequency (ties: smaller id first), so that
 common ids take one byte. Blocks lie in ascending order of doc_id over files
-(shards) and within them; null ids come first, and rows that share an id stay
-in an order given by their ids' bytes. Empty or null texts hold the end id alone.
+(shards) and within them; null ids come first, and rows that share an id (as
+repeated rows do) lie in the order of the table they were tokenised to, so that
+an id which very many rows share is spread over files. Empty or null texts hold
+the end id alone.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ MAGIC = b"TKB1"
 BLOCK_TOKENS = 1 << 19
 # For each control byte: the bytes of its four values.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
-NULL_ID = -(1 << 63)
 
 
 def pack_values(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -58,7 +59,7 @@ def unpack_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 
 def pack_block(docs: list[int | None], values: list[tuple[int, bytes, bytes]], before: int) -> bytes:
-    head = np.array([[NULL_ID if d is None else d, n, len(c), len(b)] for d, (n, c, b) in zip(docs, values, strict=True)], "<i8")
+    head = np.array([[0 if d is None else d, d is None, n, len(c), len(b)] for d, (n, c, b) in zip(docs, values, strict=True)], "<i8")
     return b"".join([MAGIC, struct.pack("<qq", len(docs), before), head.tobytes(), *(c for _, c, _ in values), *(b for _, _, b in values)])
 
 
@@ -67,20 +68,24 @@ def unpack_block(blob: bytes) -> tuple[int, Iterator[tuple[int | None, np.ndarra
     if blob[:4] != MAGIC:
         raise ValueError("not a token block")
     docs, before = struct.unpack_from("<qq", blob, 4)
-    head = np.frombuffer(blob, "<i8", docs * 4, 20).reshape(-1, 4)
-    raw = np.frombuffer(blob, np.uint8, offset=20 + docs * 32)
-    controls = np.cumsum(head[:, 2])
-    data = controls[-1] + np.cumsum(head[:, 3]) if docs else controls
+    head = np.frombuffer(blob, "<i8", docs * 5, 20).reshape(-1, 5)
+    raw = np.frombuffer(blob, np.uint8, offset=20 + docs * 40)
+    controls = np.cumsum(head[:, 3])
+    data = controls[-1] + np.cumsum(head[:, 4]) if docs else controls
 
     def each() -> Iterator[tuple[int | None, np.ndarray]]:
-        for (doc, n, c, b), ce, de in zip(head.tolist(), controls.tolist(), data.tolist(), strict=True):
-            yield None if doc == NULL_ID else doc, unpack_values(raw[ce - c : ce], raw[de - b : de], n)
+        for (doc, null, n, c, b), ce, de in zip(head.tolist(), controls.tolist(), data.tolist(), strict=True):
+            yield None if null else doc, unpack_values(raw[ce - c : ce], raw[de - b : de], n)
 
     return before, each()
 
 
 def tokenize(df: DataFrame, file: str = TOKENIZER_FILE, end_id: int = 2) -> DataFrame:
-    """doc_id, ids: the raw little-endian 16-bit ids of each text and end_id (32-bit where the vocabulary needs it)."""
+    """doc_id, ids: the raw little-endian 16-bit ids of each text and end_id (32-bit where the vocabulary needs it).
+
+    A null or empty text has the end id alone; repeated rows stay, an empty
+    table gives no rows, and columns but doc_id and text are not read.
+    """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         enc = encoder(file)
@@ -113,7 +118,10 @@ def frequency_order(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 
 
 def write_token_files(df: DataFrame, file: str = TOKENIZER_FILE, end_id: int = 2) -> tuple[DataFrame, np.ndarray]:
-    """Writes the file set of doc_id, text in the shared folder. Returns its blocks and the ids by rank (the decoding table)."""
+    """Writes the file set of doc_id, text in the shared folder. Returns its blocks and the ids by rank (the decoding table).
+
+    Nulls, empties and repeats are as in tokenize(); no rows make no blocks.
+    """
     vocabulary = encoder(file).tokenizer.get_vocab_size()
     kind = id_type(vocabulary)
     tokens = table(tokenize(df, file, end_id), "tokens")
@@ -136,7 +144,8 @@ def write_token_files(df: DataFrame, file: str = TOKENIZER_FILE, end_id: int = 2
         if docs:
             yield {"shard": [shard], "block": [block], "n_tokens": [held], "blob": [pack_block(docs, values, before)]}
 
-    by_id = tokens.repartitionByRange(parts(df.sparkSession), "doc_id").sortWithinPartitions("doc_id", "ids")
+    placed = tokens.withColumn("place", F.monotonically_increasing_id())
+    by_id = placed.repartitionByRange(parts(df.sparkSession), "doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
     return table(map_rows(by_id, run, "shard int, block int, n_tokens long, blob binary"), "token-files"), order
 
 

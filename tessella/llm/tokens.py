@@ -2,29 +2,34 @@
 
 The file's model handles each pre-token on its own, so ids of a text are the
 ids of its pre-tokens, one after the other. A memo over pre-tokens saves the
-library most of its work; what the memo lacks, and every text that holds a
-special token's string, goes to the library.
+library most of its work. Only Latin words (LATIN) are split into pre-tokens
+here; of other texts each stretch between ASCII white space that holds another
+sign goes to the library as it is, so that no other Unicode version than the
+library's own decides. Texts that hold a special token's string, and files of
+another make, go to the library whole.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 
 from tessella.llm.common import TOKENIZER_FILE, map_rows, worker_cache
 
 MEMO_WORDS = 500_000
 GROUP = 64
-# Texts of these characters alone are split by a pattern of plain ranges: \\p{L} and \\p{N} are ranges there.
+# Words of these characters alone are split by a pattern of plain ranges: \\p{L} and \\p{N} are ranges there.
 LATIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
 LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^\x09-\x0d\x20a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+#: Stretches between ASCII white space; the library parts words there, too.
+STRETCH = re.compile("[^\\x09-\\x0d\\x20]+")
+#: Before a stretch that the library encodes; no pre-token begins with white space.
+WHOLE = "\n"
 CLIP_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
@@ -42,11 +47,11 @@ class Encoder:
         self.special = [t["content"] for t in model["added_tokens"]]
         split = [p for p in (model.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
         steps = [n["type"] for n in (model.get("normalizer") or {}).get("normalizers", [])]
-        self.split = regex.compile(split[0]["pattern"]["Regex"]) if len(split) == 1 and split[0]["behavior"] == "Removed" and split[0]["invert"] and steps == ["NFC", "Replace", "Lowercase"] else None
-        self.latin = LATIN_WORDS if self.split is not None and self.split.pattern == CLIP_WORDS else None
+        #: Whether the file is of the make that words() knows.
+        self.known = len(split) == 1 and split[0]["behavior"] == "Removed" and split[0]["invert"] and steps == ["NFC", "Replace", "Lowercase"] and split[0]["pattern"]["Regex"] == CLIP_WORDS
         # The same model for pre-tokens that are normalised and split already.
         self.plain = Tokenizer.from_file(path)
-        if self.split is not None:
+        if self.known:
             self.plain.normalizer = normalizers.Sequence([])
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         suffix = model["model"].get("end_of_word_suffix")
@@ -61,7 +66,7 @@ class Encoder:
         return flags
 
     def _fill(self, words: set[str]) -> None:
-        """Words of the older memo move to the newer; one call for the rest: the last id of each pre-token has the end-of-word suffix."""
+        """Words of the older memo move to the newer; two calls for the rest, stretches and pre-tokens: the last id of a pre-token has the end-of-word suffix."""
         if len(self.memo) + len(words) > MEMO_WORDS:
             self.older, self.memo = self.memo, {}
         memo, older = self.memo, self.older
@@ -71,12 +76,12 @@ class Encoder:
                 memo[w] = known
             else:
                 rest.append(w)
+        stretches = [w for w in rest if self.final is None or w.startswith(WHOLE)]
+        for w, e in zip(stretches, self.tokenizer.encode_batch([w.removeprefix(WHOLE) for w in stretches], add_special_tokens=False), strict=True):
+            memo[w] = np.array(e.ids, "<u4").tobytes()
+        rest = [w for w in rest if w not in memo]
         if not rest:
             return
-        if self.final is None:
-            for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-            return
         ids = np.array(self.plain.encode_batch_fast([" ".join(rest)], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.flatnonzero(self.final[ids]) + 1) * 4
         raw, at = ids.tobytes(), 0
@@ -85,15 +90,15 @@ class Encoder:
             at = to
 
     def words(self, text: str) -> list[str] | None:
-        """The pre-tokens, or None if the whole text must go to the library."""
-        if self.split is None or any(s in text for s in self.special):
-            return None
-        if self.latin is not None and (text.isascii() or LATIN.fullmatch(text)):
-            return self.latin.findall(text.lower())
-        text = unicodedata.normalize("NFC", text)
-        if "İ" in text or "Σ" in text:  # lower case of these depends on the context or has two code points
+        """The pre-tokens, and stretches marked by WHOLE; None if the whole text must go to the library."""
+        if not self.known or any(s in text for s in self.special):
             return None
-        return self.split.findall(text.lower())
+        if text.isascii() or LATIN.fullmatch(text):
+            return LATIN_WORDS.findall(text.lower())
+        out: list[str] = []
+        for part in STRETCH.findall(text):
+            out += LATIN_WORDS.findall(part.lower()) if LATIN.fullmatch(part) else [WHOLE + part]
+        return out
 
     def batch(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text; words that the memo lacks are encoded together."""
@@ -131,7 +136,7 @@ def crc(ids: np.ndarray) -> int:
 
 
 def pieces(df: DataFrame, file: str, end_id: int, capacity: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each document's ids plus end_id, cut at capacity."""
+    """doc_id, piece, start, length, ids_crc32 of each document's ids plus end_id, cut at capacity; only doc_id and text are read."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         enc = encoder(file)
