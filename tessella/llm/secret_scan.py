@@ -13,6 +13,7 @@ of their starts; the text is the only group, so no group outgrows a row.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from bisect import bisect_left, bisect_right
@@ -65,10 +66,11 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     scope = lambda at: bisect_right(ends, at)
     taken = sorted((s, e) for s, _, e, _ in base)
     starts = [s for s, _ in taken]
+    reached = list(itertools.accumulate((e for _, e in taken), max))  # the farthest end of the strong spans so far
 
     def free(s: int, e: int) -> bool:
         i = bisect_left(starts, e)
-        return not any(b > s for _, b in taken[max(0, i - 3) : i])
+        return i == 0 or reached[i - 1] <= s
 
     weak = [x for x in identifiers if free(x[0], x[2])]
     weak += [(m.start(), 4, m.end(), m.start()) for m in RANDOM.finditer(text) if looks_random(m.group()) and free(*m.span())]
