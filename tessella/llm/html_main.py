@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,14 +25,17 @@ from pyspark.sql import DataFrame
 from tessella.llm.common import map_rows
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*)>""", re.S)
-ATTR = re.compile(r"""\b(class|id|role|style|itemprop|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTR = re.compile(r"""(?<![\w-])(class|id|role|style|itemprop|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# What a browser skips to the closing tag, or to the end of the page. The others of RAW end with what holds them.
+ENDLESS = frozenset("script style textarea title noscript iframe xmp noframes".split())
+FOREIGN = ("svg", "math")
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = frozenset("ul ol dl table body html div section article main aside nav form".split())
-DROPPED = frozenset("head script style noscript template svg iframe select button textarea option datalist canvas object".split())
+DROPPED = frozenset("head script style noscript template svg iframe select button textarea option datalist canvas object math".split())
 TAGS = ("p", "h1", "h2", "h3", "li", "ul", "ol", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "body", "figure", "dialog")
 # Words of class, id and role, in groups that mean the same.
 WORDS = {
@@ -48,6 +52,8 @@ WORDS = {
 }
 GROUP = {w: i for i, ws in enumerate(WORDS.values()) for w in ws.split()}
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+ADVERT = 1 << GROUP["advert"]
+LISTS = ("ul", "ol", "dl", "table", "select")
 MARK = "data-main"  # on the blocks of generated pages that belong to the article
 SPACES = re.compile(r"\s+")
 
@@ -82,69 +88,88 @@ def attributes(raw: str) -> tuple[int, bool]:
 
 
 def parse(page: str) -> list[Node]:
-    """The nodes of a page in page order; the first is the root. Malformed mark-up is repaired as browsers mostly do."""
+    """The nodes of a page in page order; the first is the root. Malformed mark-up is repaired as browsers mostly do.
+
+    Inline elements are no nodes; one that is hidden or named as an advert is
+    left out up to its end, or to that of the block around it.
+    """
     root = Node("html", None)
-    nodes, now, at, skip, link = [root], root, 0, None, 0
+    nodes, path, at, link = [root], [root], 0, 0
+    opened: dict[str, list[int]] = {}  # where in the path each tag is open
+    unclosed: set[str] = set()
+    muted: list = []  # an inline element that is left out, and how often its tag is open
 
     def text(piece: str) -> None:
-        if piece:
-            if not now.items or isinstance(now.items[-1], Node):
-                now.items.append([])
-            now.items[-1].append((piece, link > 0))
+        if piece and not muted:
+            items = path[-1].items
+            if not items or isinstance(items[-1], Node):
+                items.append([])
+            items[-1].append((piece, link > 0))
+
+    def cut(depth: int) -> None:
+        """Closes the path from this depth on."""
+        while len(path) > depth:
+            opened[path.pop().tag].pop()
+
+    def deepest(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
 
     for m in TAG.finditer(page):
         if m.start() < at:
             continue
-        if skip is None:
-            text(page[at : m.start()])
+        text(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
-        closing = m[1] or m[4]
+        closing, raw = m[1] or m[4], m[3] or m[6] or ""
         if not tag:
             continue
-        if tag in RAW and not closing and not (m[3] or m[6] or "").endswith("/"):
+        if tag in RAW and not closing and not raw.endswith("/") and tag not in unclosed:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
+            if end or tag in ENDLESS:
+                at = end.end() if end else len(page)
+                continue
+            unclosed.add(tag)
         if tag in INLINE:
+            if muted and tag == muted[0]:
+                muted[1] += -1 if closing else 1
+                if not muted[1]:
+                    muted = []
+            elif not muted and not closing and raw and tag not in VOID and not raw.endswith("/"):
+                groups, hidden = attributes(raw)
+                if hidden or groups & ADVERT:
+                    muted = [tag, 1]
+                    continue
             if tag == "a":
                 link = max(0, link + (-1 if closing else 1)) if closing else 1
             elif tag == "br":
                 text(" ")
             continue
+        muted = []
         if closing:
-            up = now
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                now, link = up.parent, 0
+            if opened.get(tag):
+                cut(opened[tag][-1])
+                link = 0
             continue
         link = 0
         if tag == "html":
             continue
-        if tag in CLOSES_P:
-            up = now
-            while up is not root and up.tag not in SCOPE:
-                if up.tag == "p":
-                    now = up.parent
-                    break
-                up = up.parent
+        if tag in CLOSES_P and (near := deepest(("p", *FOREIGN))) > deepest(SCOPE):
+            cut(near)
         if tag in SAME:
-            up = now
-            while up is not root and up.tag not in ("ul", "ol", "dl", "table", "select"):
-                if up.tag in SAME[tag]:
-                    now = up.parent
-                up = up.parent
+            low = deepest(LISTS)
+            if ends := [places[i] for t in SAME[tag] if (places := opened.get(t)) and (i := bisect_right(places, low)) < len(places)]:
+                cut(min(ends))
         if tag in VOID:
             if tag == "hr":
-                now.items.append([])  # a new block begins
+                path[-1].items.append([])  # a new block begins
             continue
-        groups, hidden = attributes(m[3] or m[6] or "")
-        node = Node(tag, now, groups, hidden)
+        groups, hidden = attributes(raw)
+        node = Node(tag, path[-1], groups, hidden)
         node.marked = MARK in (m[3] or "")
         nodes.append(node)
-        if not (m[3] or m[6] or "").endswith("/") or tag not in ("div", "p", "section"):
-            now = node
+        if not raw.endswith("/") or tag not in ("div", "p", "section"):
+            opened.setdefault(tag, []).append(len(path))
+            path.append(node)
     if at < len(page):
         text(page[at:])
     return nodes

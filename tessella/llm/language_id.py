@@ -13,6 +13,7 @@ stays under `least` in probability, is rejected: lang is null.
 
 from __future__ import annotations
 
+import html as entities
 import re
 from collections.abc import Iterator
 
@@ -28,13 +29,34 @@ BITS = 16
 MAX_TRAIN = 1500
 TEMPER = 0.25  # neighbouring trigrams tell much the same, so a text counts as a quarter of its trigrams
 HOST_WEIGHT = 20.0
-SKIPPED = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+TAG = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>")
+#: Elements whose content is no prose of the page.
+SKIPPED = frozenset("script style noscript template svg nav header footer aside form select button".split())
 LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += 32  # capitals tell nothing, and runs of other signs count as a space
 _FOLD[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 32
 
 
+def prose(page: str) -> str:
+    """The text of a page without mark-up, menus, scripts and the like, references decoded. One pass, however broken the page."""
+    out, at, lower, open_ended = [], 0, page.lower(), set()
+    while m := TAG.search(page, at):
+        out += [page[at : m.start()], " "]
+        at = m.end()
+        name = "" if m[2] is None else m[2].lower()
+        end = "-->" if not name else f"</{name}" if name in SKIPPED and not m[1] else None
+        if end and end not in open_ended:
+            to = lower.find(end, at)
+            if to < 0:
+                open_ended.add(end)  # never closed: what follows counts
+            else:
+                at = to + len(end)
+                if name:
+                    at = lower.find(">", at) + 1 or len(page)
+    return entities.unescape("".join([*out, page[at:]]))
+
+
 def trigrams(text: str) -> np.ndarray:
     """Table slots of the letters' byte trigrams, words parted by one space."""
     b = _FOLD[np.frombuffer(f" {text} ".encode(), np.uint8)]
@@ -71,14 +93,17 @@ class TextModel:
 
 
 def train(docs: DataFrame, label: str = "lang", max_train: int = MAX_TRAIN) -> TextModel:
-    """Byte-trigram models of every label that occurs; a share of each language's rows by a hash of doc_id, so that max_train are expected."""
+    """Byte-trigram models of every label that occurs; a share of each language's rows by a hash of id and text, so that max_train are expected.
+
+    Without any labelled row the model has no language.
+    """
     per = docs.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
     languages = sorted(r[label] for r in per)
     if not languages:
-        raise ValueError("no labelled text to learn languages from")
+        return TextModel([], np.empty(0, int), np.empty(0, int), np.empty(0))
     place = {v: i for i, v in enumerate(languages)}
-    limits = docs.sparkSession.createDataFrame([(r[label], place[r[label]], int(np.ceil(min(1.0, max_train / r["n"]) * (1 << 20)))) for r in per], "__label string, lang int, __limit int")
-    labelled = docs.select(F.col(label).alias("__label"), F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)).alias("__sample"), "text")
+    limits = docs.sparkSession.createDataFrame([(r[label], place[r[label]], int(min(1.0, max_train / r["n"]) * (1 << 62))) for r in per], "__label string, lang int, __limit long")
+    labelled = docs.select(F.col(label).alias("__label"), F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 62)).alias("__sample"), "text")
     taken = labelled.join(F.broadcast(limits), "__label").where("__sample < __limit").select("lang", "text")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -113,11 +138,15 @@ def identify(df: DataFrame, model: TextModel, key: list[str], text: str, declare
 
     Evidence may be missing as a column or be null in a row; it then says
     nothing. declared and suffix are compared in lower case by their first
-    part (de-AT is de); values that are no known language say nothing.
-    Repeated rows each have their result; an empty table gives no rows.
+    part (de-AT is de); values that are no known language say nothing. A text
+    that is null, empty or without letters says nothing (text_lang is null).
+    Repeated rows each have their result; an empty table gives no rows; with a
+    model of no language every row is rejected. Other columns are not read.
     """
     languages, n = model.languages, len(model.languages)
     blank = F.lit(None).cast("string")
+    if not languages:
+        return df.select(*key, blank.alias("lang"), F.lit(0.0).alias("confidence"), blank.alias("text_lang"), blank.alias("declared"), blank.alias("suffix"), (blank if host is None else host).alias("host"))
     known = F.array(*[F.lit(v) for v in languages])
     clean = lambda c: F.when(F.array_contains(known, p := F.lower(F.split_part(c, F.lit("-"), F.lit(1)))), p)
     rows = df.select(*key, F.col(text).alias("__text"), (blank if declared is None else clean(declared)).alias("__declared"), (blank if suffix is None else clean(suffix)).alias("__suffix"), (blank if host is None else host).alias("__host"), (blank if domain is None else domain).alias("__domain"))
@@ -126,7 +155,7 @@ def identify(df: DataFrame, model: TextModel, key: list[str], text: str, declare
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            texts = (SKIPPED.sub(" ", t) if markup and t else t for t in b["__text"])
+            texts = (prose(t) if markup and t else t for t in b["__text"])
             logs = [sent.value.likelihood(t) for t in texts]
             yield {c: b[c] for c in kept} | {"__logs": logs, "__shares": [shares(x) for x in logs]}
 
@@ -135,30 +164,34 @@ def identify(df: DataFrame, model: TextModel, key: list[str], text: str, declare
     each = [F.col("__shares")[i].alias(f"s{i}") for i in range(n)]
     sums = lambda d, *by: d.groupBy(*by).agg(*[F.sum(F.coalesce(f"s{i}", F.lit(0.0))).alias(f"s{i}") for i in range(n)])
     by_host = table(sums(scored.select("__domain", "__host", *each), "__domain", "__host"), "hosts")
-    by_domain = sums(by_host, "__domain")
     total = np.array([x or 0.0 for x in sums(by_host).first()[:n]])
-    world = (total + 1) / (total.sum() + n)
-    reliability = lambda c: confusion(sums(scored.where(F.col(c).isNotNull()).select(c, *each), c).collect(), languages, c)
-    says, ends = reliability("__declared"), reliability("__suffix")
+    world = F.array(*[F.lit(float(x)) for x in HOST_WEIGHT * (total + 1) / (total.sum() + n)])
     # every expression grows with the number of languages, none with its square
     held = F.array(*[F.col(f"s{i}") for i in range(n)])
-    world_at = F.array(*[F.lit(HOST_WEIGHT * float(x)) for x in world])
-    total_of = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x) + HOST_WEIGHT
-    domains = by_domain.select(F.col("__domain").alias("d"), held.alias("__held")).select("d", F.zip_with("__held", world_at, lambda x, w: x + w).alias("__up"), total_of("__held").alias("__n"))
-    domains = domains.select("d", F.transform("__up", lambda x: x / F.col("__n")).alias("__up"))
-    hosts = by_host.select("__domain", "__host", held.alias("__held")).withColumn("__n", total_of("__held"))
-    hosts = hosts.join(domains, F.col("__domain").eqNullSafe(F.col("d")), "left").drop("d")
-    prior = hosts.select(F.col("__domain").alias("d"), F.col("__host").alias("h"), F.zip_with("__held", "__up", lambda x, up: F.log((x + HOST_WEIGHT * up) / F.col("__n"))).alias("__prior"))
-    joined = scored.join(prior, F.col("__host").eqNullSafe(F.col("h")) & F.col("__domain").eqNullSafe(F.col("d")), "left").drop("d", "h")
-    for c, t in (("__declared", says), ("__suffix", ends)):  # tables of languages by languages
-        said = df.sparkSession.createDataFrame([(v, t[:, j].tolist()) for j, v in enumerate(languages)], f"{c} string, {c}_log array<double>")
+    domains = sums(by_host, "__domain").select(F.col("__domain").alias("d"), held.alias("__in_domain"))
+    hosts = by_host.select("__domain", "__host", held.alias("__in_host")).join(domains, F.col("__domain").eqNullSafe(F.col("d")), "left").drop("d")
+    hosts = hosts.withColumnsRenamed({"__domain": "d", "__host": "h"})
+    joined = scored.join(hosts, F.col("__host").eqNullSafe(F.col("h")) & F.col("__domain").eqNullSafe(F.col("d")), "left").drop("d", "h")
+    none = F.array_repeat(F.lit(0.0), n)
+    joined = joined.withColumn("__own", F.coalesce("__shares", none))
+    less_own = lambda c: F.zip_with(c, "__own", lambda x, own: F.greatest(x - own, F.lit(0.0)))
+    leaning = lambda c, up: F.transform(F.zip_with(c, up, lambda x, w: x + w), lambda x: x / (F.aggregate(c, F.lit(0.0), lambda a, y: a + y) + HOST_WEIGHT))
+    joined = joined.withColumns({"__in_domain": less_own("__in_domain"), "__in_host": less_own("__in_host")})
+    joined = joined.withColumn("__up", F.transform(leaning(F.col("__in_domain"), world), lambda x: HOST_WEIGHT * x))
+    joined = joined.withColumn("__prior", F.transform(leaning(F.col("__in_host"), F.col("__up")), lambda x: F.log(x)))
+    for c in ("__declared", "__suffix"):  # tables of languages by languages
+        counted = confusion(sums(scored.where(F.col(c).isNotNull()).select(c, *each), c).collect(), languages, c)
+        said = df.sparkSession.createDataFrame([(v, counted[:, j].tolist(), counted.sum(1).tolist()) for j, v in enumerate(languages)], f"{c} string, {c}_said array<double>, {c}_all array<double>")
         joined = joined.join(F.broadcast(said), c, "left")
-    plus = lambda a, b: F.zip_with(a, F.coalesce(b, F.array_repeat(F.lit(0.0), n)), lambda x, y: x + y)
-    posterior = joined.withColumn("__post", plus(plus(plus("__logs", F.col("__prior")), F.col("__declared_log")), F.col("__suffix_log")))
+        share = F.zip_with(F.zip_with(f"{c}_said", "__own", lambda x, own: x - own), F.zip_with(f"{c}_all", "__own", lambda x, own: x - own), lambda x, y: F.log(x / y))
+        joined = joined.withColumn(f"{c}_log", F.coalesce(share, none))
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    posterior = joined.withColumn("__post", plus(plus(plus(F.coalesce("__logs", none), F.col("__prior")), F.col("__declared_log")), F.col("__suffix_log")))
     best = F.array_max("__post")
     confidence = F.lit(1.0) / F.aggregate("__post", F.lit(0.0), lambda a, x: a + F.exp(x - best))
     name = lambda c: F.element_at(known, F.array_position(c, F.array_max(c)).cast("int"))
-    found = posterior.withColumn("__confidence", F.when(F.col("__logs").isNotNull(), confidence))
+    some = F.coalesce("__logs", "__declared_said", "__suffix_said").isNotNull()
+    found = posterior.withColumn("__confidence", F.when(some, confidence))
     return found.select(
         *key, F.when(F.col("__confidence") >= least, name(F.col("__post"))).alias("lang"), F.coalesce("__confidence", F.lit(0.0)).alias("confidence"),
         F.when(F.col("__logs").isNotNull(), name(F.col("__logs"))).alias("text_lang"), F.col("__declared").alias("declared"), F.col("__suffix").alias("suffix"), F.col("__host").alias("host"),
@@ -166,12 +199,12 @@ def identify(df: DataFrame, model: TextModel, key: list[str], text: str, declare
 
 
 def confusion(rows: list, languages: list[str], column: str) -> np.ndarray:
-    """log P(value said | true language), smoothed; row: language, column: value."""
+    """How often each value (column) is said where the texts have each language (row), smoothed."""
     n = len(languages)
     counts = np.ones((n, n)) * 0.5 + np.eye(n)
     for r in rows:
         counts[:, languages.index(r[column])] += [r[f"s{i}"] for i in range(n)]
-    return np.log(counts / counts.sum(1, keepdims=True))
+    return counts
 
 
 def page_evidence(url: Column, html: Column) -> dict[str, Column]:

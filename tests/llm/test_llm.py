@@ -322,7 +322,7 @@ def test_language(spark):
     assert sum(r.true == r.lang for r in rows) / len(rows) > 0.95
     pages = spark.createDataFrame([(0, "http://a.example.de/x", "<html lang='de-AT'><p>123</p>"), (1, None, None), (2, "http://h.example.org/fr/1", "<html lang=xx><p>die der und nicht einer verschiedenen</p>")], "page_id long, url string, html string")
     got = {r.page_id: r for r in language_id.identify(pages, model, ["page_id"], "html", **language_id.page_evidence(F.col("url"), F.col("html")), markup=True).collect()}
-    assert got[0].lang is None and got[0].declared == "de" and got[0].suffix == "de" and got[1].lang is None and got[2].suffix == "fr" and got[2].text_lang == "de"
+    assert got[0].lang == "de" and got[0].text_lang is None and got[0].declared == "de" and got[0].suffix == "de" and got[1].lang is None and got[2].suffix == "fr" and got[2].text_lang == "de"
     assert language_id.identify(empty_docs(spark), model, ["doc_id"], "text").count() == 0
 
 
