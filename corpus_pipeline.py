@@ -36,7 +36,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         return _without(docs, language_id.letterless(docs.withColumn("__row", _row(docs)), "__row", "text"))
     model = language_id.train(docs)
     found = language_id.identify(docs.withColumn("__row", _row(docs)), model, ["__row"], "text", declared=F.col("lang"), host=F.col("source"))
-    return _without(docs, found.where("lang is null"))
+    return _without(docs, found.where("lang is null or text_lang is null"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
