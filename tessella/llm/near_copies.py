@@ -10,7 +10,8 @@ in one common order of all shingles, two sets that similar share one of their
 first n - ceil(least * n) + 1 (prefix filter). Those prefixes are indexed, so the
 order puts rare shingles first; how common one is comes from a sample, which
 decides how fast the search is, never what it finds. Candidates that sizes and
-places allow are verified by the whole sets.
+places allow are tested by counts of hashes in 256 bins, which bound what two
+sets can share, and then verified by the whole sets.
 
 Texts of one set are one entry. A key of more than `bucket` entries is never
 gathered: its members are first compared with one of them, another for each key,
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import simhash
-from tessella.llm.common import map_rows, parts, table
+from tessella.llm.common import drop_table, map_rows, parts, table
 from tessella.llm.graph import components
 from tessella.llm.lm_score import level
 
@@ -67,6 +68,15 @@ def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return key[at], n[at]
 
 
+BINS = 256
+
+
+def bins(u: np.ndarray) -> bytes:
+    """How many hashes fall in each bin; empty where a bin has more than a byte holds, and then no bound is known."""
+    count = np.bincount((u & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+    return count.astype(np.uint8).tobytes() if count.max() < 256 else b""
+
+
 def _name(u: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
@@ -75,13 +85,13 @@ def _name(u: np.ndarray) -> int:
 
 
 def _sets(rows: DataFrame, width: int, least: float) -> DataFrame:
-    """row, id, name (a hash of the set), size, prefix and fp (fingerprint) of row, id, text."""
+    """row, id, name (a hash of the set), size, prefix, fp (fingerprint) and bins of row, id, text."""
     order = rows.sparkSession.sparkContext.broadcast(_common(rows, width))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         key, n = order.value
         for b in batches:
-            out: dict[str, list] = {"row": b["row"], "id": b["id"], "name": [], "size": [], "prefix": [], "fp": []}
+            out: dict[str, list] = {"row": b["row"], "id": b["id"], "name": [], "size": [], "prefix": [], "fp": [], "bins": []}
             for t in b["text"]:
                 hashes = simhash.shingle_hashes((t or "").encode().lower().split(), width)
                 u, fp = np.unique(hashes), simhash.majority(hashes)
@@ -93,9 +103,10 @@ def _sets(rows: DataFrame, width: int, least: float) -> DataFrame:
                 out["size"].append(len(u))
                 out["prefix"].append(u[np.lexsort((u, count))[: prefix_length(len(u), least)]].view(np.int64))
                 out["fp"].append(fp - (fp >> 63 << 64))
+                out["bins"].append(bins(u))
             yield out
 
-    schema = rows.select("row", "id").schema.add("name", "long").add("size", "integer").add("prefix", T.ArrayType(T.LongType())).add("fp", "long")
+    schema = rows.select("row", "id").schema.add("name", "long").add("size", "integer").add("prefix", T.ArrayType(T.LongType())).add("fp", "long").add("bins", "binary")
     return map_rows(rows.select("row", "id", "text"), run, schema)
 
 
@@ -149,10 +160,32 @@ def _walk(bucket: int, least: float):
     return run
 
 
+def _likely(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """The pairs a, b whose bins allow enough common shingles; known: name, size, bins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+            x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
+            both = np.flatnonzero([bool(p and q) for p, q in zip(x, y, strict=True)])
+            most = sizes.copy()
+            for at in np.array_split(both, 1 + len(both) // 4096):
+                u, v = (np.frombuffer(b"".join(side[i] for i in at.tolist()), np.uint8).reshape(-1, BINS) for side in (x, y))
+                most[at] = np.minimum(u, v).sum(1, dtype=np.int64)
+            yield b.select(["a", "b"]).filter(pa.array(most >= sizes * (least / (1 + least)) - 1e-9))
+
+    side = lambda c: known.select(F.col("name").alias(c), F.col("size").alias(f"{c}_size"), F.col("bins").alias(f"{c}_bins"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_size", "b_size", "a_bins", "b_bins")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs a, b of set names whose sets are similar enough."""
-    pairs = table(pairs.distinct(), "candidates")
-    wanted = table(firsts.join(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "name", "left_semi").select("row"), "candidate-rows")
+    """The pairs a, b of set names whose sets are similar enough; firsts: name, row, size, bins."""
+    named = lambda some: some.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    every = table(pairs.distinct(), "candidates")
+    known = table(firsts.join(named(every), "name", "left_semi"), "candidate-bins")
+    pairs = table(_likely(every, known, least), "likely-pairs")
+    wanted = table(known.join(named(pairs), "name", "left_semi").select("row"), "candidate-rows")
     if wanted.count() <= BROADCAST_SETS:
         wanted = F.broadcast(wanted)
 
@@ -172,7 +205,10 @@ def _verified(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, width: int,
     sets = table(map_rows(texts, sets_of, "name long, hashes binary"), "candidate-sets")
     side = lambda c: sets.select(F.col("name").alias(c), F.col("hashes").alias(f"{c}_set"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
-    return table(both.mapInArrow(compared, "a long, b long"), "near-pairs")
+    found = table(both.mapInArrow(compared, "a long, b long"), "near-pairs")
+    for done in (every, known, sets):
+        drop_table(done)
+    return found
 
 
 def _labelled(df: DataFrame, links: DataFrame) -> DataFrame:
@@ -198,8 +234,9 @@ def groups(rows: DataFrame, width: int = WIDTH, least: float = LEAST, bucket: in
     """
     sets = table(_sets(rows, width, least), "shingle-sets")
     entry: Column = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
-    firsts = table(sets.groupBy("name").agg(entry.alias("first"), *[F.first(c).alias(c) for c in ("size", "prefix", "fp")]), "distinct-sets")
-    by_row = firsts.select("name", F.col("first.row").alias("row"))
+    firsts = table(sets.groupBy("name").agg(entry.alias("first"), *[F.first(c).alias(c) for c in ("size", "prefix", "fp", "bins")]), "distinct-sets")
+    drop_table(sets)
+    by_row = firsts.select("name", F.col("first.row").alias("row"), "size", "bins")
     links = _verified(_by_fingerprint(firsts), by_row, rows, width, least)
     posts = _labelled(firsts.select("name", "size", "prefix"), links).select("name", "grp", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "name", "grp", "pos", "size")
     walked = table(posts.repartition(parts(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_walk(bucket, least), "key long, a long, b long, grp long, pos int, size int"), "walked")
