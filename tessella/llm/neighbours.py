@@ -1,12 +1,15 @@
 """Nearest neighbours by a block matrix join with quantised tiles.
 
 Vectors are cut into blocks: base rows into blocks of base vectors, query rows
-into blocks of queries. Every query block meets every group of base blocks by
-an equality join on the group's number. A tile is a product of int8 matrices;
-with the rounding error of each vector, known exactly, it bounds each distance
-from both sides. Only pairs whose lower bound does not exceed the query's k-th
-best are computed again, in double precision, and kept in a heap for each
-query; the groups' heaps are then merged. The result is exact.
+into blocks of queries. Blocks are dealt to groups, and every group of queries
+meets every group of base blocks in one cell of a grid, by an equality join on
+the two groups' numbers. A group of queries is bounded, so that a cell keeps all
+its heaps; the more groups of queries there are, the fewer of base blocks. A
+tile is a product of int8 matrices; with the rounding error of each vector,
+known exactly, it bounds each distance from both sides. Only pairs whose lower
+bound does not exceed the query's k-th best are computed again, in double
+precision, and kept in a heap for each query; the cells' heaps are then merged.
+The result is exact.
 """
 
 from __future__ import annotations
@@ -16,12 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.llm.common import map_rows, parts, table
+from tessella.llm.common import map_rows, parts
 
 BLOCK = 2048
+QUERY_BLOCK = 1024
+#: Query blocks in a group, on average: the heaps of a cell.
+QUERY_BLOCKS = 64
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,30 +47,34 @@ def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def blocks(df: DataFrame, key: F.Column, size: int = BLOCK) -> DataFrame:
-    """dim, grp (of key), ids, data (float64 rows) blobs of at most `size` vectors. Unusable vectors take no part."""
+def blocks(df: DataFrame, groups: int, size: int) -> DataFrame:
+    """dim, grp, ids, data (rows of numbers) blobs of at most `size` vectors, dealt to the groups in turn. Unusable vectors take no part."""
+    single = df.schema["embedding"].dataType.elementType == T.FloatType()
+    kind = "<f4" if single else "<f8"
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        held: dict[tuple[int, int], list] = {}
+        held: dict[int, list] = {}
+        turn = TaskContext.get().partitionId() * 0x9E3779B1
 
-        def put(k: tuple[int, int]) -> dict:
-            rows = held.pop(k)
-            return {"dim": [k[0]], "grp": [k[1]], "ids": [np.array([i for i, _ in rows], "<i8").tobytes()], "data": [np.stack([v for _, v in rows]).astype("<f8").tobytes()]}
+        def put(dim: int) -> dict:
+            nonlocal turn
+            rows, turn = held.pop(dim), turn + 1
+            return {"dim": [dim], "grp": [turn % groups], "ids": [np.array([i for i, _ in rows], "<i8").tobytes()], "data": [np.stack([v for _, v in rows]).astype(kind).tobytes()]}
 
         for b in batches:
-            for i, v, g in zip(b["vec_id"], b["embedding"], b["grp"], strict=True):
+            for i, v in zip(b["vec_id"], b["embedding"], strict=True):
                 if i is None or not v or None in v:
                     continue
                 x = np.array(v, np.float64)
                 if not np.isfinite(x).all() or not x.any():
                     continue
-                held.setdefault((len(x), g), []).append((i, x))
-                if len(held[len(x), g]) >= size:
-                    yield put((len(x), g))
-        for k in list(held):
-            yield put(k)
+                held.setdefault(len(x), []).append((i, x))
+                if len(held[len(x)]) >= size:
+                    yield put(len(x))
+        for dim in list(held):
+            yield put(dim)
 
-    return map_rows(df.select("vec_id", "embedding", key.alias("grp")), run, "dim int, grp int, ids binary, data binary")
+    return map_rows(df.select("vec_id", "embedding"), run, "dim int, grp int, ids binary, data binary")
 
 
 def _tile(ids: np.ndarray, q: np.ndarray, quantised: tuple, base_ids: np.ndarray, x: np.ndarray, base_quantised: tuple, heaps: list[list], k: int) -> None:
@@ -101,28 +113,32 @@ def nearest(df: DataFrame, queries: F.Column, k: int = 10, block: int = BLOCK) -
     repeated row is a candidate for each time it occurs; a repeated query id
     has the neighbours of each of its vectors merged. No queries, no rows.
     """
-    groups = parts(df.sparkSession)
-    base = blocks(df, F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"), block)
-    asked = blocks(df.where(queries), F.lit(0), 1024).drop("grp")
-    # Query blocks go to every group: queries times groups, however many base rows there are.
-    spread = asked.select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    tiles = base.join(spread, ["dim", "grp"])
+    asked = df.where(queries)
+    query_groups = max(1, -(-asked.count() // (QUERY_BLOCK * QUERY_BLOCKS)))
+    groups = -(-parts(df.sparkSession) // query_groups)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    base = blocks(df, groups, block).select("dim", "grp", every(query_groups).alias("q_grp"), "ids", "data")
+    spread = blocks(asked, query_groups, QUERY_BLOCK).select("dim", F.col("grp").alias("q_grp"), every(groups).alias("grp"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    tiles = base.hint("merge").join(spread, ["dim", "grp", "q_grp"])
+    kind = "<f4" if df.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         heaps: dict[tuple[bytes, bytes], tuple] = {}
         last: tuple = (None, None)
+        cell = None
         for b in batches:
-            for dim, ids, data, q_ids, q_data in zip(b["dim"], b["ids"], b["data"], b["q_ids"], b["q_data"], strict=True):
-                name = (q_ids, q_data[:64])
+            for dim, grp, q_grp, ids, data, q_ids, q_data in zip(b["dim"], b["grp"], b["q_grp"], b["ids"], b["data"], b["q_ids"], b["q_data"], strict=True):
+                if cell != (dim, grp, q_grp):  # rows come sorted by cell
+                    yield from map(_rows, heaps.values())
+                    heaps.clear()
+                    cell = (dim, grp, q_grp)
+                name = (q_ids, q_data)
                 if name not in heaps:
-                    if len(heaps) > 64:
-                        yield from map(_rows, heaps.values())
-                        heaps.clear()
-                    q = np.frombuffer(q_data, "<f8").reshape(-1, dim)
+                    q = np.frombuffer(q_data, kind).reshape(-1, dim).astype(np.float64)
                     heaps[name] = (np.frombuffer(q_ids, "<i8"), q, quantise(q), [[] for _ in range(len(q))])
-                if last[0] != ids:
-                    x = np.frombuffer(data, "<f8").reshape(-1, dim)
-                    last = (ids, np.frombuffer(ids, "<i8"), x, quantise(x))
+                if last[0] != (ids, data):
+                    x = np.frombuffer(data, kind).reshape(-1, dim).astype(np.float64)
+                    last = ((ids, data), np.frombuffer(ids, "<i8"), x, quantise(x))
                 q_id, q, quantised, own = heaps[name]
                 _tile(q_id, q, quantised, last[1], last[2], last[3], own, k)
         yield from map(_rows, heaps.values())

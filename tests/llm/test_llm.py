@@ -415,3 +415,18 @@ def test_pipeline(spark, tmp_path):
 
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_neighbours_over_a_grid(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (900, 6)).astype(float)
+    x[100:400] = x[0]  # one vector, a third of all rows
+    rows = [(int(i % 300), r.tolist()) for i, r in enumerate(x)]  # every id three times
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("grp", F.lit(7)).withColumn("dim", F.lit("clash"))
+    want = sorted(map(tuple, neighbours.nearest(df, F.col("vec_id") % 3 == 0).collect()))
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCKS", 2)
+    assert sorted(map(tuple, neighbours.nearest(df, F.col("vec_id") % 3 == 0, block=32).collect())) == want
+    for q in (0, 33, 270):
+        near = sorted((float(np.sqrt(((x[i] - x[j]) ** 2).sum())), int(j % 300)) for i in (q, q + 300, q + 600) for j in range(900) if x[i].any() and x[j].any() and j % 300 != q)[:10]
+        assert [(round(d, 9), v) for d, v in near] == [(round(s, 9), v) for qq, _, v, s in want if qq == q]
