@@ -52,14 +52,24 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_tessella_cache", types.ModuleType("_tessella_cache")).__dict__
 
 
+#: Rows that are Python objects at a time.
+SLICE = 2048
+
+
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], Iterator[dict[str, list]]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow over Python lists: fn gets an iterator of {column: list} and yields the same."""
+    """mapInArrow over Python lists: fn gets an iterator of {column: list} and yields the same; arrays may stand for lists."""
     kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches if b.num_rows)
-        for out in fn(lists):
+        def lists() -> Iterator[dict[str, list]]:
+            for b in batches:
+                for at in range(0, b.num_rows, SLICE):
+                    part = b.slice(at, SLICE)
+                    yield {n: part.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+                pa.default_memory_pool().release_unused()
+
+        for out in fn(lists()):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, kind)

@@ -116,6 +116,22 @@ def _possible(n, i, m, j, least: float):
     return (n - i >= need) & (m - j >= need)
 
 
+POSTING = "key long, name long, grp long, pos int, size int"
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of the prefixes of name, grp, size, prefix."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            b = whole.slice(at, 1024)
+            keys = b.column(3).flatten().to_numpy()
+            n = np.diff(b.column(3).offsets.to_numpy())
+            first = np.cumsum(n) - n
+            name, grp, size = (np.repeat(b.column(k).to_numpy(), n) for k in range(3))
+            pos = np.arange(len(keys)) - np.repeat(first, n)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys, name, grp, pos.astype(np.int32), size)], names=["key", "name", "grp", "pos", "size"])
+
+
 def _walk(bucket: int, least: float):
     """Over rows (key, name, grp, pos, size) sorted by key: candidates (a, b) of different groups, and members (key, a, grp, pos, size; b null) of keys larger than `bucket`."""
     names, kinds = ["key", "a", "b", "grp", "pos", "size"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -238,7 +254,7 @@ def groups(rows: DataFrame, width: int = WIDTH, least: float = LEAST, bucket: in
     drop_table(sets)
     by_row = firsts.select("name", F.col("first.row").alias("row"), "size", "bins")
     links = _verified(_by_fingerprint(firsts), by_row, rows, width, least)
-    posts = _labelled(firsts.select("name", "size", "prefix"), links).select("name", "grp", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "name", "grp", "pos", "size")
+    posts = _labelled(firsts.select("name", "size", "prefix"), links).select("name", "grp", "size", "prefix").mapInArrow(_postings, POSTING)
     walked = table(posts.repartition(parts(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_walk(bucket, least), "key long, a long, b long, grp long, pos int, size int"), "walked")
     pairs = walked.where("b is not null").select("a", "b")
     large = walked.where("b is null").select("key", F.col("a").alias("name"), "grp", "pos", "size")

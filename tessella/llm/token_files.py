@@ -1,8 +1,8 @@
 """Token files: frequency-ranked ids in byte-aligned variable-length coding.
 
 A file set is a table of blocks. A block is one binary value: header, the
-documents' ids and counts, then for each document its control bytes (two bits
-a value: its bytes less one) and, apart from them, its data bytes. The values
+documents' ids and counts, then the control bytes of all values (two bits a
+value: its bytes less one) and, apart from them, the data bytes. The values
 are ranks of ids by falling corpus frequency (ties: smaller id first), so that
 common ids take one byte. Blocks lie in ascending order of doc_id over files
 (shards) and within them; null ids come first, and rows that share an id (as
@@ -58,26 +58,22 @@ def unpack_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def pack_block(docs: list[int | None], values: list[tuple[int, bytes, bytes]], before: int) -> bytes:
-    head = np.array([[0 if d is None else d, d is None, n, len(c), len(b)] for d, (n, c, b) in zip(docs, values, strict=True)], "<i8")
-    return b"".join([MAGIC, struct.pack("<qq", len(docs), before), head.tobytes(), *(c for _, c, _ in values), *(b for _, _, b in values)])
+def pack_block(docs: list[int | None], sizes: list[int], values: np.ndarray, before: int) -> bytes:
+    """One block of documents whose values follow one another."""
+    control, data = pack_values(values)
+    head = np.array([[0 if d is None else d, d is None, n] for d, n in zip(docs, sizes, strict=True)], "<i8")
+    return b"".join([MAGIC, struct.pack("<qqq", len(docs), before, len(control)), head.tobytes(), control, data])
 
 
-def unpack_block(blob: bytes) -> tuple[int, Iterator[tuple[int | None, np.ndarray]]]:
-    """Tokens before the block in its shard, and each document's id and ranks."""
+def unpack_block(blob: bytes) -> tuple[int, list[int | None], np.ndarray, np.ndarray]:
+    """Tokens before the block in its shard, the documents' ids and numbers of values, and all values."""
     if blob[:4] != MAGIC:
         raise ValueError("not a token block")
-    docs, before = struct.unpack_from("<qq", blob, 4)
-    head = np.frombuffer(blob, "<i8", docs * 5, 20).reshape(-1, 5)
-    raw = np.frombuffer(blob, np.uint8, offset=20 + docs * 40)
-    controls = np.cumsum(head[:, 3])
-    data = controls[-1] + np.cumsum(head[:, 4]) if docs else controls
-
-    def each() -> Iterator[tuple[int | None, np.ndarray]]:
-        for (doc, null, n, c, b), ce, de in zip(head.tolist(), controls.tolist(), data.tolist(), strict=True):
-            yield None if null else doc, unpack_values(raw[ce - c : ce], raw[de - b : de], n)
-
-    return before, each()
+    docs, before, controls = struct.unpack_from("<qqq", blob, 4)
+    head = np.frombuffer(blob, "<i8", docs * 3, 28).reshape(-1, 3)
+    raw = np.frombuffer(blob, np.uint8, offset=28 + docs * 24)
+    ids = [None if null else doc for doc, null, _ in head.tolist()]
+    return before, ids, head[:, 2], unpack_values(raw[:controls], raw[controls:], int(head[:, 2].sum()))
 
 
 def tokenize(df: DataFrame, file: str = TOKENIZER_FILE, end_id: int = 2) -> DataFrame:
@@ -131,18 +127,24 @@ def write_token_files(df: DataFrame, file: str = TOKENIZER_FILE, end_id: int = 2
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         shard, block, before = TaskContext.get().partitionId(), 0, 0
-        docs, values, held = [], [], 0
+        docs, raws, sizes, held = [], [], [], 0
+        width = np.dtype(kind).itemsize
+
+        def put() -> dict:
+            blob = pack_block(docs, sizes, rank[np.frombuffer(b"".join(raws), kind)], before)
+            return {"shard": [shard], "block": [block], "n_tokens": [held], "blob": [blob]}
+
         for b in batches:
             for doc, raw in zip(b["doc_id"], b["ids"], strict=True):
-                ids = np.frombuffer(raw, kind)
                 docs.append(doc)
-                values.append((len(ids), *pack_values(rank[ids])))
-                held += len(ids)
+                raws.append(raw)
+                sizes.append(len(raw) // width)
+                held += sizes[-1]
                 if held >= BLOCK_TOKENS:
-                    yield {"shard": [shard], "block": [block], "n_tokens": [held], "blob": [pack_block(docs, values, before)]}
-                    before, block, docs, values, held = before + held, block + 1, [], [], 0
+                    yield put()
+                    before, block, docs, raws, sizes, held = before + held, block + 1, [], [], [], 0
         if docs:
-            yield {"shard": [shard], "block": [block], "n_tokens": [held], "blob": [pack_block(docs, values, before)]}
+            yield put()
 
     placed = tokens.withColumn("place", F.monotonically_increasing_id())
     by_id = placed.repartitionByRange(parts(df.sparkSession), "doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
@@ -155,19 +157,17 @@ def read_token_files(blocks: DataFrame, order: np.ndarray, with_ids: bool = True
     starts = shards.select("shard", (F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("shard_start"))
 
     kinds = ("doc_id long", "start long", "n_tokens long", "ids_crc32 long", "ids binary")[: 5 if with_ids else 4]
-    names = [k.split()[0] for k in kinds]
-
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             for blob, start in zip(b["blob"], b["shard_start"], strict=True):
-                before, docs = unpack_block(blob)
-                at = start + before
-                out: dict[str, list] = {k: [] for k in names}
-                for doc, ranks in docs:
-                    raw = order[ranks].astype("<u4").tobytes()
-                    for k, v in zip(names, (doc, at, len(ranks), zlib.crc32(raw), raw), strict=False):
-                        out[k].append(v)
-                    at += len(ranks)
+                before, docs, sizes, ranks = unpack_block(blob)
+                ends = np.cumsum(sizes)
+                ids = order[ranks].astype("<u4")
+                raw = memoryview(ids.tobytes())
+                cuts = [raw[4 * x : 4 * y] for x, y in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+                out: dict[str, list] = {"doc_id": docs, "start": (start + before + ends - sizes).tolist(), "n_tokens": sizes.tolist(), "ids_crc32": [zlib.crc32(c) for c in cuts]}
+                if with_ids:
+                    out["ids"] = [c.tobytes() for c in cuts]
                 yield out
 
     # bounded: one row for each file of the set

@@ -11,6 +11,7 @@ another make, go to the library whole.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import zlib
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from tessella.llm.common import TOKENIZER_FILE, map_rows, worker_cache
 
-MEMO_WORDS = 500_000
+MEMO_WORDS = 400_000
 GROUP = 64
 # Words of these characters alone are split by a pattern of plain ranges: \\p{L} and \\p{N} are ranges there.
 LATIN = re.compile("[\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
@@ -105,12 +106,14 @@ class Encoder:
         for k in range(0, len(texts), GROUP):
             group = texts[k : k + GROUP]
             split = [self.words(t or "") for t in group]
-            flat = [w for words in split if words for w in words]
-            parts = list(map(self.memo.get, flat))
-            if holes := [i for i, p in enumerate(parts) if p is None]:
-                self._fill({flat[i] for i in holes})
-                for i in holes:
-                    parts[i] = self.memo[flat[i]]
+            flat = list(itertools.chain.from_iterable(x for x in split if x))
+            if new := set(flat).difference(self.memo):
+                self._fill(new)
+            try:
+                parts = list(map(self.memo.__getitem__, flat))
+            except KeyError:  # the memo has just begun anew
+                self._fill(set(flat).difference(self.memo))
+                parts = list(map(self.memo.__getitem__, flat))
             at = 0
             for text, words in zip(group, split, strict=True):
                 if words is None:
