@@ -1 +1,7 @@
-"""A PySpark library for curating training data."""
+"""Curation of training data on PySpark. Functions of the package travel to the executors by value, so that a cluster needs no copy of it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -67,3 +67,13 @@ def interleave(maps: list[Column], channels: list[int], preferred: int) -> Colum
     order = sorted(range(len(maps)), key=lambda i: channels[i])
     n = slice_count(channels, preferred)
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(*[F.slice(maps[j], i * (channels[j] // n) + 1, channels[j] // n) for j in order])))
+
+
+def concatenated(maps: list[Column]) -> Column:
+    """PJ23: one vector of all maps, one after the other."""
+    return F.concat(*maps)
+
+
+def separated(maps: list[Column]) -> Column:
+    """PJ23: a generator of map_idx, embedding: a row for each map."""
+    return F.posexplode(F.array(*maps)).alias("map_idx", "embedding")

@@ -13,17 +13,17 @@ from tessella.operators.ranking import average_rank, correlation
 AGGREGATIONS = ("max", "min", "sum", "mean", "crop_weighted", "class_weighted_sum")
 
 
-def by_image(scores: DataFrame, how: str = "max", weights: DataFrame | None = None) -> DataFrame:
-    """image_id, score of crop scores (image_id, cls, score). weights (cls, weight) serve class_weighted_sum; unseen classes weigh 100."""
+def by_image(scores: DataFrame, how: str = "max", weights: DataFrame | None = None, *by: str) -> DataFrame:
+    """image_id, further columns `by`, score of crop scores (image_id, cls, score). weights (cls, weight) serve class_weighted_sum; unseen classes weigh 100."""
     s = F.col("score")
     if how == "class_weighted_sum":
         # one row for each class
         scores = scores.join(F.broadcast(weights), "cls", "left")
-        return scores.groupBy("image_id").agg(F.sum(s * F.coalesce("weight", F.lit(DEFAULT_WEIGHT))).alias("score"))
+        return scores.groupBy("image_id", *by).agg(F.sum(s * F.coalesce("weight", F.lit(DEFAULT_WEIGHT))).alias("score"))
     forms = {"max": F.max(s), "min": F.min(s), "sum": F.sum(s), "mean": F.avg(s), "crop_weighted": F.avg(s) * F.sqrt(F.count(s))}
     if how not in forms:
         raise ValueError(f"aggregation must be one of {AGGREGATIONS}")
-    return scores.groupBy("image_id").agg(forms[how].alias("score"))
+    return scores.groupBy("image_id", *by).agg(forms[how].alias("score"))
 
 
 def vector_features(crops: DataFrame) -> DataFrame:

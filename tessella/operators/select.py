@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.functions import sampling
 from tessella.functions import vectors as V
 from tessella.operators import aggregate, knn, ranking
 from tessella.operators.pool import background, class_weights
+from tessella.sources.staging import staged
 
 MODES = ("distance", "density", "matryoshka_variance", "gbm_oracle")
 
@@ -55,6 +60,12 @@ def distance(crops: DataFrame, labeled: DataFrame, k: int, aggregation: str = "m
     return ranked(aggregate.by_image(distance_scores(crops, labeled, width), aggregation, weights), k)
 
 
+def closest_crops(crops: DataFrame, labeled: DataFrame, k: float) -> DataFrame:
+    """The crops of other images nearest to the labelled ones, nearest first; k may be no whole number and is rounded up."""
+    best = distance_scores(crops, labeled).orderBy("score", "crop_id").limit(math.ceil(k))
+    return best.select("crop_id", "score", F.row_number().over(W.orderBy("score", "crop_id")).alias("rank"))
+
+
 def density(crops: DataFrame, labeled: DataFrame, k: int, neighbours: int = 5, aggregation: str = "max", metric: str = "cosine", ascending: bool | None = None) -> DataFrame:
     """Images in sparse regions first (with `max` the crop of least density counts); other aggregations sort downward unless told."""
     known, rest = split_crops(crops, labeled)
@@ -79,34 +90,49 @@ def matryoshka_variance(crops: DataFrame, labeled: DataFrame, k: int, widths: li
     return ranked(aggregate.by_image(rows.withColumn("score", V.variance([F.col(n) for n in names])), how), k)
 
 
+def _split_once(crops: DataFrame, labeled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The crops of labelled and of other images, written down for several passes."""
+    marked = crops.join(labeled.select("image_id").distinct().withColumn("__known", F.lit(True)), "image_id", "left")
+    rows = staged(marked, "split-crops")
+    return rows.where("__known").drop("__known"), rows.where("__known is null").drop("__known")
+
+
 def coarse_to_fine(crops: DataFrame, labeled: DataFrame, k: int, dim: int, k1: float = 4.0, k2: float = 2.0, d1: int = 8, d2: int = 4) -> DataFrame:
     """K * k1 images by a coarse prefix, of them k * k2 by a finer one, of them k by whole vectors. From the first step on only an image's best crop goes on."""
     if k1 < 1 or k2 < 1 or d1 < 1 or d2 < 1:
         raise ValueError("multipliers and divisors must be 1 or more")
-    now, out = crops, None
+    known, rest = _split_once(crops, labeled)
+    now, out = rest, rest
     for width, keep in ((max(1, dim // d1), int(k * k1)), (max(1, dim // d2), int(k * k2)), (dim, k)):
-        scores = distance_scores(now, labeled, width) if out is None else _rescored(crops, labeled, out, width)
-        out = aggregate.best_crop(scores, keep)
+        near = knn.knn_distances(now, known, 1, [width])
+        out = aggregate.best_crop(near.select("crop_id", "image_id", F.element_at(F.element_at("distances", 1), 1).alias("score")), keep)
+        now = rest.join(out.select("crop_id"), "crop_id", "left_semi")
     return out.select("image_id", "score", F.row_number().over(W.orderBy(F.desc("score"), "image_id")).alias("rank"))
 
 
-def _rescored(crops: DataFrame, labeled: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    known, rest = split_crops(crops, labeled)
-    near = knn.knn_distances(rest.join(chosen.select("crop_id"), "crop_id", "left_semi").select(rest.columns), known, 1, [width])
-    return near.select("crop_id", "image_id", "cls", F.element_at(F.element_at("distances", 1), 1).alias("score"))
+def _voted(ballots: DataFrame, k: int) -> DataFrame:
+    """Ballots (image_id, place) by votes, then mean place, then id."""
+    voted = ballots.groupBy("image_id").agg(F.count(F.lit(1)).alias("votes"), F.avg("place").alias("avg_rank"))
+    order = (F.desc("votes"), "avg_rank", "image_id")
+    return voted.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
 def voting(spaces: list[DataFrame], labeled: DataFrame, k: int, aggregation: str = "max") -> DataFrame:
-    """Images by votes of the spaces' own selections, then mean place, then id."""
+    """Images by votes of the spaces' own selections, then mean place, then id."""
     if not spaces:
         raise ValueError("no spaces to vote")
     lists = [distance(s, labeled, k, aggregation).select("image_id", (F.col("rank") - 1).alias("place")) for s in spaces]
-    every = lists[0]
-    for x in lists[1:]:
-        every = every.unionByName(x)
-    voted = every.groupBy("image_id").agg(F.count(F.lit(1)).alias("votes"), F.avg("place").alias("avg_rank"))
-    order = (F.desc("votes"), "avg_rank", "image_id")
-    return voted.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    return _voted(reduce(DataFrame.unionByName, lists), k)
+
+
+def voting_stretches(crops: DataFrame, labeled: DataFrame, k: int, stretches: list[tuple[int, int]], aggregation: str = "max") -> DataFrame:
+    """S07 where the spaces are stretches (start, width) of one vector: one pass over the crops finds the distances in all of them."""
+    known, rest = split_crops(crops, labeled)
+    weights = class_weights(known) if aggregation == "class_weighted_sum" else None
+    near = knn.knn_distances(rest, known, 1, stretches=stretches)
+    scores = near.select("image_id", "cls", F.posexplode(F.transform("distances", lambda d: F.element_at(d, 1))).alias("space", "score"))
+    best = ranking.top_k_per(aggregate.by_image(scores, aggregation, weights, "space"), k, "space")
+    return _voted(best.select("image_id", F.col("rank").alias("place")), k)
 
 
 def two_budgets(scores: DataFrame, frg: int, bg: int) -> DataFrame:
@@ -126,9 +152,24 @@ def every_kth(images: DataFrame, k: int, order: str = "image_id") -> DataFrame:
     return ranking.places(images, order).where((F.col("__below") + 1) % k == 0).drop("__below", "__total")
 
 
-def nested_sample(parent: DataFrame, whole: int, fraction: float, seed: int) -> DataFrame:
-    """round(fraction * whole) images of the parent by a seeded hash. Smaller fractions of a parent lie within larger ones."""
-    return parent.orderBy(F.xxhash64("image_id", F.lit(seed)), "image_id").limit(round(fraction * whole))
+def nested_sample(parent: DataFrame, whole: int, fraction: float, seed: int, least: int = 0) -> DataFrame:
+    """round(fraction * whole) rows of the parent (`least` at least) in a seeded order of image_id; smaller fractions of a parent lie within larger ones.
+
+    Rows keep their columns, so a place in the pool (pos) gives the sample's
+    order; see in_pool_order. More than the parent holds is an error only there.
+    """
+    n = max(least, round(fraction * whole))
+    placed = ranking.places(parent.withColumn("__h", sampling.order_key(F.col("image_id"), seed)), "__h", "image_id")
+    return placed.where(F.col("__below") < n).drop("__h", "__below", "__total")
+
+
+def in_pool_order(parent: DataFrame, whole: int, fraction: float, seed: int) -> DataFrame:
+    """The sample of one image at least, with `place` from 0 by the images' order (pos) in the pool. Raises where the parent has too few."""
+    n = max(1, round(fraction * whole))
+    chosen = staged(nested_sample(parent, whole, fraction, seed, 1), "sample")
+    if chosen.count() < n:
+        raise ValueError(f"{n} images wanted, the parent has fewer")
+    return ranking.places(chosen, "pos", "image_id").withColumnRenamed("__below", "place").drop("__total")
 
 
 def add_backgrounds(images: DataFrame, boxes: DataFrame, labeled: DataFrame, n: int, seed: int) -> DataFrame:
