@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.operators import ranking
+from tessella.sources.staging import staged
+
 
 def jaccard_of(inter: Column, a: Column, b: Column, empty: float = 1.0) -> Column:
     """ST02: `empty` is the value for two empty sets (0 in the other convention)."""
@@ -72,6 +75,13 @@ def shift(bias: DataFrame, a: str, b: str, least: float = 0.2) -> DataFrame:
     return wide.select("cls", (F.col(a) - F.col(b)).alias("shift")).where(F.abs("shift") > least)
 
 
+def class_difference(a: DataFrame, b: DataFrame, boxes: DataFrame, least: int = 3) -> DataFrame:
+    """FL08: cls, a, b, diff: classes whose boxes in two selections differ in number by more than `least`."""
+    n = lambda df, out: df.select("image_id").distinct().join(boxes, "image_id").groupBy("cls").agg(F.count(F.lit(1)).alias(out))
+    both = n(a, "a").join(n(b, "b"), "cls", "full_outer").na.fill(0, ["a", "b"])
+    return both.withColumn("diff", F.col("a") - F.col("b")).where(F.abs("diff") > least)
+
+
 def unique_picks(splits: DataFrame, a: str, b: str) -> DataFrame:
     """ST05: owner (a, b or shared) and number of the images that the steps of two strategies add."""
     added = changes(splits).where("change = 'added'").where(F.col("strategy").isin(a, b)).select("strategy", "image_id").distinct()
@@ -86,13 +96,24 @@ def background_ratio(splits: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def summary(splits: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Images, boxes, classes, backgrounds, mean and median area of each split."""
-    rows = splits.select("strategy", "pct", "image_id").distinct().join(boxes, "image_id", "left")
-    a = F.col("w") * F.col("h")
-    return rows.groupBy("strategy", "pct").agg(
-        F.count_distinct("image_id").alias("images"), F.count("cls").alias("boxes"), F.count_distinct("cls").alias("classes"),
-        F.count_if(F.col("cls").isNull()).alias("backgrounds"), F.avg(a).alias("mean_area"), F.percentile(a, 0.5).alias("median_area"),
-    )
+    """Images, boxes, classes, backgrounds, mean and median area of each split.
+
+    Boxes are first counted by split, class and area, so that what follows is
+    small; medians go by ranges of areas, not by split.
+    """
+    keys = ["strategy", "pct"]
+    members = splits.select(*keys, "image_id").distinct()
+    filled = boxes.select("image_id").distinct().withColumn("__has", F.lit(1))
+    whole = members.join(filled, "image_id", "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("images"), F.count_if(F.col("__has").isNull()).alias("__none"))
+    joined = members.join(boxes.select("image_id", "cls", (F.col("w") * F.col("h")).alias("__a")), "image_id")
+    counted = staged(joined.groupBy(*keys, "cls", "__a").agg(F.count(F.lit(1)).alias("__c")), "areas")
+    per = counted.groupBy(*keys, "cls").agg(F.sum("__c").alias("__c"), F.sum(F.col("__a") * F.col("__c")).alias("__s"), F.sum(F.when(F.col("__a").isNotNull(), F.col("__c"))).alias("__n"))
+    known = F.col("cls").isNotNull()
+    stats = per.groupBy(*keys).agg(F.sum(F.when(known, F.col("__c"))).alias("boxes"), F.count_if(known).alias("classes"), F.sum(F.when(~known, F.col("__c"))).alias("__odd"), (F.sum("__s") / F.sum("__n")).alias("mean_area"))
+    median = ranking.percentiles_of(counted, F.col("__a"), {"median_area": 0.5}, *keys, count="__c")
+    found = ranking.with_columns_of(ranking.with_columns_of(whole, stats, *keys), median, *keys)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return found.select(*keys, "images", zero("boxes").alias("boxes"), zero("classes").alias("classes"), (F.col("__none") + zero("__odd")).alias("backgrounds"), "mean_area", "median_area")
 
 
 def class_shares(splits: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -55,4 +55,4 @@ def metric_frame(table: DataFrame, pcts: list[int]) -> DataFrame:
 
 def display(value: Column) -> Column:
     """SK10: four decimals, or a dash."""
-    return F.coalesce(F.format_string("%.4f", value), F.lit("—"))
+    return F.when(value.isNull(), "—").otherwise(F.format_string("%.4f", value))

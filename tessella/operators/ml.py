@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import sampling
 from tessella.functions import vectors as V
-from tessella.operators.ranking import spearman
+from tessella.operators import boost
+from tessella.sources.staging import staged
 
 
 def fit_sample(df: DataFrame, one_in: int, seed: int, key: str = "crop_id") -> DataFrame:
     """About one row of so many, by a seeded hash."""
-    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(one_in)) == 0)
+    return df.where(sampling.bucket(F.col(key), seed, one_in) == 0)
 
 
 def fit_pca(crops: DataFrame, components: int, scale: bool = False, one_in: int = 5, seed: int = 42) -> PipelineModel:
@@ -49,25 +55,79 @@ def standardise_batches(crops: DataFrame) -> DataFrame:
     return crops.join(per, "batch_id").withColumn("embedding", F.zip_with(centred, "s", lambda x, s: x / (s + 1e-5))).drop("m", "s")
 
 
-def fit_utility(features: DataFrame, names: list[str], target: str, rounds: int = 50, rate: float = 0.05, depth: int = 5, seed: int = 42) -> PipelineModel:
-    """A gradient-boosted regression of a utility on features."""
-    steps = [VectorAssembler(inputCols=names, outputCol="__f", handleInvalid="keep"), GBTRegressor(featuresCol="__f", labelCol=target, predictionCol="score", maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed)]
-    return Pipeline(stages=steps).fit(features)
+#: The bound of the rows that a utility model is fitted on, taken by a seeded hash of image_id.
+MAX_ROWS = 50_000
+
+
+def _sample(features: DataFrame, names: list[str], target: str, seed: int, most: int) -> DataFrame:
+    """image_id, x (the features as doubles), y of about `most` rows at most, and fold_key (60 bits of a seeded hash)."""
+    known = features.where(F.col(target).isNotNull())
+    share = min(1.0, most / max(1, known.count()))
+    key = sampling.bucket(F.col("image_id"), seed, 1 << 60)
+    rows = known.select(F.col("image_id").cast("string").alias("image_id"), F.array(*[F.col(n).cast("double") for n in names]).alias("x"), F.col(target).cast("double").alias("y"), key.alias("fold_key"))
+    return rows.where(F.pmod(F.xxhash64("fold_key"), F.lit(1 << 62)) < int(share * (1 << 62)))
+
+
+def _arrays(pdf: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    x = np.array([[np.nan if v is None else v for v in r] for r in pdf["x"]], float).reshape(-1, width)
+    return x, pdf["y"].to_numpy(float)
+
+
+def fit_utility(features: DataFrame, names: list[str], target: str, rounds: int = 300, patience: int = 20, seed: int = 42, most: int = MAX_ROWS) -> boost.Boosted:
+    """Boosted regression trees of a utility on features, stopped by a tenth of the rows that is held out.
+
+    Fitted on a sample of `most` rows at most (a seeded hash of image_id), gathered on the driver.
+    """
+    pdf = _sample(features, names, target, seed, most).toPandas().sort_values("image_id")  # bounded by `most`
+    x, y = _arrays(pdf, len(names))
+    held = pdf["fold_key"].to_numpy() % 10 == 0
+    if not held.any() or held.all():
+        return boost.Boosted(x, y, None, rounds, patience)
+    return boost.Boosted(x[~held], y[~held], (x[held], y[held]), rounds, patience)
+
+
+def predict_utility(model: boost.Boosted, features: DataFrame, names: list[str]) -> DataFrame:
+    """image_id, score of every row."""
+    sent = features.sparkSession.sparkContext.broadcast(model)  # some hundred small trees
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"image_id": pdf["image_id"], "score": sent.value.predict(pdf[names].to_numpy(float))})
+
+    doubles = [F.col(n).cast("double").alias(n) for n in names]
+    return features.select("image_id", *doubles).mapInPandas(run, features.select("image_id").schema.add("score", "double"))
+
+
+def cross_validate(features: DataFrame, names: list[str], target: str, folds: int = 5, rounds: int = 300, patience: int = 20, seed: int = 42, most: int = MAX_ROWS) -> DataFrame:
+    """Fold, n, rho (rank correlation on the held-out fold), rounds (kept by early stopping), gains (name, gain) of each fold.
+
+    Folds go by a seeded hash of image_id and are fitted side by side, each on
+    the same bounded sample (`most` rows).
+    """
+    rows = staged(_sample(features, names, target, seed, most), "utility-sample")
+    each = rows.crossJoin(F.broadcast(features.sparkSession.range(folds).select(F.col("id").cast("int").alias("fold"))))  # a bounded sample, once for each fold
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("image_id")
+        fold = int(pdf["fold"].iloc[0])
+        x, y = _arrays(pdf, len(names))
+        held = pdf["fold_key"].to_numpy() % folds == fold
+        model = boost.Boosted(x[~held], y[~held], (x[held], y[held]) if held.any() else None, rounds, patience)
+        rho = boost.rank_correlation(model.predict(x[held]), y[held]) if held.any() else None
+        gains = [{"name": n, "gain": float(g)} for n, g in zip(names, model.gains, strict=True)]
+        return pd.DataFrame({"fold": [fold], "n": [int(held.sum())], "rho": [rho], "rounds": [len(model.trees)], "gains": [gains]})
+
+    return each.groupBy("fold").applyInPandas(run, "fold int, n long, rho double, rounds int, gains array<struct<name:string,gain:double>>")
 
 
-def predict_utility(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """image_id, score."""
-    return model.transform(features).select("image_id", "score")
+def save_model(model, spark: SparkSession, path: str) -> None:
+    """SC19: a model as a table of one row, in any store that Spark writes."""
+    spark.createDataFrame([(bytearray(pickle.dumps(model)),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def cross_validate(features: DataFrame, names: list[str], target: str, folds: int = 5, rounds: int = 50, seed: int = 42) -> DataFrame:
-    """Fold, rho: the rank correlation on each held-out fold (a hash of image_id)."""
-    spark, fold, out = features.sparkSession, F.pmod(F.xxhash64("image_id", F.lit(seed)), F.lit(folds)), []
-    for i in range(folds):
-        held = features.where(fold == i)
-        scored = fit_utility(features.where(fold != i), names, target, rounds).transform(held)
-        out.append((i, spearman(scored.select("image_id", "score", target), "score", target).first().rho))
-    return spark.createDataFrame(out, "fold int, rho double")
+def load_model(spark: SparkSession, path: str):
+    """SC19: what save_model wrote; load own models only."""
+    return pickle.loads(bytes(spark.read.parquet(path).first().model))
 
 
 def distortion(before: DataFrame, after: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.pool import class_histogram, pool_stats
 from tessella.operators.ranking import ordinal_percentile
+from tessella.sources.staging import staged
 
 def _rarity(eps: float) -> Column:
     return 1 / (F.coalesce(F.col("c"), F.lit(0)) / F.greatest(F.col("total_boxes"), F.lit(1)) + eps)
@@ -44,6 +45,8 @@ def oracle(name: str, images: DataFrame, boxes: DataFrame, pool: DataFrame, clas
 def greedy_batches(images: DataFrame, boxes: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     """K images in rounds of a tenth: the best by the combined utility against the pool so far, which then grows by them."""
     spark, step = images.sparkSession, max(1, k // 10)
+    boxes = staged(boxes.select("image_id", "cls", "w", "h"), "boxes")  # read in every round
+    images, pool = (staged(df.select("image_id"), "ids") for df in (images, pool))
     chosen = images.select("image_id").limit(0)
     left = k
     while left > 0:

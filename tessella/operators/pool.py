@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.operators import ranking
+
 
 def class_histogram(boxes: DataFrame, *by: str) -> DataFrame:
     """Boxes of each class, by further columns if named."""
@@ -56,7 +58,8 @@ def selection_quality(selected: DataFrame, boxes: DataFrame, *by: str, eps: floa
 def area_stats(boxes: DataFrame, *by: str) -> DataFrame:
     """Mean and median area."""
     a = F.col("w") * F.col("h")
-    return boxes.groupBy(*by).agg(F.avg(a).alias("mean_area"), F.percentile(a, 0.5).alias("median_area"), F.count(F.lit(1)).alias("n"))
+    mean = boxes.groupBy(*by).agg(F.avg(a).alias("mean_area"), F.count(F.lit(1)).alias("n"))
+    return ranking.with_columns_of(mean, ranking.percentiles_of(boxes, a, {"median_area": 0.5}, *by), *by)
 
 
 def density_histogram(values: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
@@ -69,7 +72,7 @@ def density_histogram(values: DataFrame, column: str, low: float, high: float, b
 
 def quartiles(values: DataFrame, column: str, *by: str) -> DataFrame:
     """Box-plot numbers."""
-    return values.groupBy(*by).agg(*[F.percentile(column, q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)])
+    return ranking.percentiles_of(values, F.col(column), {f"q{int(q * 100)}": q for q in (0.25, 0.5, 0.75)}, *by)
 
 
 def threshold_counts(values: DataFrame, column: str, threshold: float) -> DataFrame:
@@ -78,6 +81,6 @@ def threshold_counts(values: DataFrame, column: str, threshold: float) -> DataFr
 
 
 def crop_counts(crops: DataFrame, maps: int = 1) -> DataFrame:
-    """Crops an image: mean, median, max, and the vectors to expect for so many maps."""
+    """Crops an image: mean, max, the vectors to expect for so many maps, and the median."""
     per = crops.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(F.avg("n").alias("mean"), F.percentile("n", 0.5).alias("median"), F.max("n").alias("max"), (F.sum("n") * maps).alias("expected"))
+    return ranking.with_columns_of(per.agg(F.avg("n").alias("mean"), F.max("n").alias("max"), (F.sum("n") * maps).alias("expected")), ranking.percentiles_of(per, F.col("n"), {"median": 0.5}))

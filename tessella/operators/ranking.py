@@ -56,6 +56,36 @@ def average_place(df: DataFrame, column: str, out: str, *by: str) -> DataFrame:
     return _same(df, ranks, keys)
 
 
+def percentiles_of(df: DataFrame, value: Column, qs: dict[str, float], *by: str, count: str | None = None) -> DataFrame:
+    """by and, for each name of qs, the exact percentile of the group's values that are not null, interpolated; count: how often a row counts.
+
+    Values are counted before they are put in order by ranges, so that no task
+    holds a group, however large. A group without values has no row.
+    """
+    times = F.lit(1) if count is None else F.col(count)
+    counted = df.select(*by, value.alias("__v"), times.alias("__times")).where("__v is not null").groupBy(*by, "__v").agg(F.sum("__times").alias("__c"))
+    placed = places(counted, *by, "__v", weight="__c").drop("__total")
+    sizes = placed.groupBy(*by).agg(F.min("__below").alias("__first"), F.sum("__c").alias("__n"))
+    rows = _same(placed, sizes, list(by)) if by else placed.join(F.broadcast(sizes))  # one row
+    start = F.col("__below") - F.col("__first")
+    at = lambda place: F.max(F.when((start <= place) & (place < start + F.col("__c")), F.col("__v")))
+    aggs = []
+    for name, q in qs.items():
+        place = (F.col("__n") - 1) * F.lit(float(q))
+        aggs += [at(F.floor(place)).alias(f"__low_{name}"), at(F.ceil(place)).alias(f"__high_{name}"), F.first(place - F.floor(place)).alias(f"__part_{name}")]
+    between = lambda n: F.col(f"__low_{n}") + (F.col(f"__high_{n}") - F.col(f"__low_{n}")) * F.col(f"__part_{n}")
+    return rows.groupBy(*by).agg(*aggs).select(*by, *[between(n).alias(n) for n in qs])
+
+
+def with_columns_of(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """left with the other columns of right, null where right has no row of the same keys (nulls are the same); without keys both are one row."""
+    if not keys:
+        return left.join(F.broadcast(right), F.lit(True), "left")
+    named = right.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
+    on = [left[k].eqNullSafe(named[f"__k{i}"]) for i, k in enumerate(keys)]
+    return left.join(named, on, "left").drop(*(f"__k{i}" for i in range(len(keys))))
+
+
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """left with the other columns of right, where the keys are the same; nulls are."""
     named = right.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
