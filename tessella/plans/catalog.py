@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import geometry as G
 from tessella.functions import names as N
+from tessella.functions import sampling
 from tessella.functions import vectors as V
 from tessella.operators import aggregate, chains, knn, matching, metrics, ml, oracles, pool, ranking, select
 from tessella.plans.fixtures import oracle, view
@@ -110,8 +111,7 @@ def _space(lo: int, n: int) -> str:
 
 @query("s07_voting", f"WITH {LAB}, ballots AS ({' UNION ALL '.join(_space(*x) for x in ((1, 16), (17, 16), (33, 32)))}), s AS (SELECT image_id, count(*) AS votes, avg(place) AS a FROM ballots GROUP BY 1) SELECT image_id, votes, {R('a')} AS avg_rank, CAST(row_number() OVER (ORDER BY votes DESC, a, image_id) AS INTEGER) AS rank FROM s ORDER BY votes DESC, a, image_id LIMIT {K}")
 def _(t):
-    spaces = [t.crops.withColumn("embedding", F.slice("embedding", lo, n)) for lo, n in ((1, 16), (17, 16), (33, 32))]
-    return select.voting(spaces, t.labeled_crops, K)
+    return select.voting_stretches(t.crops, t.labeled_crops, K, [(0, 16), (16, 16), (32, 32)])
 
 
 # Annotations: pool statistics over the labelled images, utilities of the others.
@@ -136,31 +136,57 @@ for _name, (_form, _sql) in FORMS.items():
     _oracle(_name, _form, _sql)
 
 
-@query("o09_greedy")
+def _greedy(rounds: int, step: int) -> str:
+    """O09 written out: every round scores the images that are left against the pool so far, which then grows by the best."""
+    parts = ["g0 AS MATERIALIZED (SELECT image_id FROM images WHERE labeled)"]
+    for i in range(1, rounds + 1):
+        parts += [
+            f"c{i} AS MATERIALIZED (SELECT cls, count(*) AS c FROM boxes JOIN g{i - 1} USING (image_id) GROUP BY 1)",
+            f"t{i} AS MATERIALIZED (SELECT count(*) AS total, coalesce(sum(w*h), 0) / greatest(1, count(*)) AS avg_area FROM boxes JOIN g{i - 1} USING (image_id))",
+            f"u{i} AS (SELECT image_id, {FORMS['o04_combined'][1]} AS score FROM (SELECT b.image_id, b.cls, b.w*b.h AS a, 1/(coalesce(c, 0)/greatest(1, total)+0.01) AS r2, avg_area FROM boxes b LEFT JOIN c{i} USING (cls), t{i}) GROUP BY 1)",
+            f"h{i} AS (SELECT image_id FROM images LEFT JOIN u{i} USING (image_id) WHERE NOT labeled AND image_id NOT IN (SELECT image_id FROM g{i - 1}) ORDER BY coalesce(score, 0) DESC, image_id LIMIT {step})",
+            f"g{i} AS MATERIALIZED (SELECT image_id FROM g{i - 1} UNION ALL SELECT image_id FROM h{i})",
+        ]
+    return f"WITH {', '.join(parts)} SELECT image_id FROM g{rounds} WHERE image_id NOT IN (SELECT image_id FROM g0)"
+
+
+@query("o09_greedy", _greedy(10, 2))
 def _(t):
     return oracles.greedy_batches(select.unlabeled(t.images, t.labeled), t.boxes, t.labeled, 20)
 
 
-HYBRID = f"WITH {PREFIX}, m AS (SELECT image_id, max(d64) AS dist, avg(v) AS var, count(*) AS n FROM var GROUP BY 1), q AS (SELECT image_id, " + ", ".join(f"(row_number() OVER (ORDER BY {c}, image_id) - 1) / greatest(count(*) OVER () - 1, 1) AS p_{c}" for c in ("dist", "var", "n")) + " FROM m)"
+MEASURES = "max(d64) AS dist_max, avg(d64) AS dist, sum(d64) AS dist_sum, avg(d64) * sqrt(count(*)) AS dist_crop_weighted, avg(v) AS var, avg(d32) AS prefix_div2, avg(d16) AS prefix_div4, count(*) AS n"
+HYBRID = f"WITH {PREFIX}, m AS MATERIALIZED (SELECT image_id, {MEASURES} FROM var GROUP BY 1), q AS (SELECT image_id, " + ", ".join(f"(row_number() OVER (ORDER BY {c}, image_id) - 1) / greatest(count(*) OVER () - 1, 1) AS p_{c}" for c in ("dist", "var", "n")) + " FROM m)"
+ALPHAS, WEIGHINGS = (0.3, 0.5, 1.0, 2.0), (0.3, 0.5, 1.0)
+SCORERS = {"dist_max": "dist_max", "dist_mean": "dist", "dist_sum": "dist_sum", "dist_crop_weighted": "dist_crop_weighted", "variance": "var", "prefix_div2": "prefix_div2", "prefix_div4": "prefix_div4", "crop_count": "n"}
 
 
 def _measures(t: Tables) -> DataFrame:
     rows, names = select.prefix_distances(t.crops, t.labeled_crops, WIDTHS)
-    return rows.groupBy("image_id").agg(F.max("d64").alias("dist"), F.avg(V.variance([F.col(n) for n in names])).alias("var"), F.count(F.lit(1)).alias("n"))
+    n = F.count(F.lit(1))
+    return rows.groupBy("image_id").agg(
+        F.max("d64").alias("dist_max"), F.avg("d64").alias("dist"), F.sum("d64").alias("dist_sum"), (F.avg("d64") * F.sqrt(n)).alias("dist_crop_weighted"),
+        F.avg(V.variance([F.col(x) for x in names])).alias("var"), F.avg("d32").alias("prefix_div2"), F.avg("d16").alias("prefix_div4"), n.alias("n"),
+    )
 
 
 @query("o10_hybrid", f"{HYBRID} SELECT alpha, weight, image_id, round(p_dist * pow(p_var, alpha) * pow(p_n, weight), 6) AS score FROM q, (VALUES (CAST(0.3 AS DOUBLE)), (0.5), (1), (2)) a(alpha), (VALUES (CAST(0.3 AS DOUBLE)), (0.5), (1)) b(weight)")
 def _(t):
-    return oracles.hybrid_grid(_measures(t), [0.3, 0.5, 1.0, 2.0], [0.3, 0.5, 1.0])
+    return oracles.hybrid_grid(_measures(t), list(ALPHAS), list(WEIGHINGS))
 
 
-METHODS = f"{HYBRID}, sc AS (SELECT 'distance' AS method, image_id, dist AS score FROM m UNION ALL SELECT 'variance', image_id, var FROM m UNION ALL SELECT 'crop_count', image_id, CAST(n AS DOUBLE) FROM m UNION ALL SELECT 'hybrid', image_id, p_dist * pow(p_var, 0.5) * pow(p_n, 0.5) FROM q)"
+_scorers = " UNION ALL ".join(f"SELECT '{name}' AS method, image_id, CAST({c} AS DOUBLE) AS score FROM m" for name, c in SCORERS.items())
+_hybrids = " UNION ALL ".join(f"SELECT 'hybrid_{a}_{w}', image_id, p_dist * pow(p_var, CAST({a} AS DOUBLE)) * pow(p_n, CAST({w} AS DOUBLE)) FROM q" for a in ALPHAS for w in WEIGHINGS)
+METHODS = f"{HYBRID}, sc AS MATERIALIZED ({_scorers} UNION ALL {_hybrids})"
 
 
 def _methods(t: Tables) -> DataFrame:
+    """method, image_id, score of the eight scorers and the hybrids for every exponent and weight."""
     m = staged(_measures(t), "measures")
-    named = lambda name, c: m.select(F.lit(name).alias("method"), "image_id", F.col(c).cast("double").alias("score"))
-    return named("distance", "dist").unionByName(named("variance", "var")).unionByName(named("crop_count", "n")).unionByName(oracles.hybrid(m, 0.5, 0.5).select(F.lit("hybrid").alias("method"), "image_id", "score"))
+    named = F.array(*[F.struct(F.lit(name).alias("method"), F.col(c).cast("double").alias("score")) for name, c in SCORERS.items()])
+    label = F.concat(F.lit("hybrid_"), F.format_string("%.1f", "alpha"), F.lit("_"), F.format_string("%.1f", "weight"))
+    hybrids = oracles.hybrid_grid(m, list(ALPHAS), list(WEIGHINGS)).select(label.alias("method"), "image_id", "score")
+    return m.select("image_id", F.inline(named)).select("method", "image_id", "score").unionByName(hybrids)
 
 
 @query("e2_method_report", f"{METHODS}, {POOL}, tr AS (SELECT image_id, {FORMS['o04_combined'][1]} AS t FROM ub GROUP BY 1), j AS (SELECT method, image_id, score, t FROM sc JOIN tr USING (image_id)), rk AS (SELECT method, rank() OVER (PARTITION BY method ORDER BY score) + (count(*) OVER (PARTITION BY method, score) - 1) / 2 AS rs, rank() OVER (PARTITION BY method ORDER BY t) + (count(*) OVER (PARTITION BY method, t) - 1) / 2 AS rt FROM j), best AS (SELECT image_id FROM (SELECT image_id, t FROM tr WHERE image_id IN (SELECT image_id FROM m)) ORDER BY t DESC, image_id LIMIT {K}), hit AS (SELECT method, count(*) AS c FROM (SELECT method, image_id, row_number() OVER (PARTITION BY method ORDER BY score DESC, image_id) AS r FROM sc) WHERE r <= {K} AND image_id IN (SELECT image_id FROM best) GROUP BY 1) SELECT method, {R('rho')} AS rho, coalesce(c, 0) / {K} AS overlap FROM (SELECT method, corr(rs, rt) AS rho FROM rk GROUP BY 1) LEFT JOIN hit USING (method)")
@@ -212,20 +238,24 @@ def _(t):
     return aggregate.model_features(rows, names, t.labeled_crops.count(), 0.2, 0.3)
 
 
+def _utility(t: Tables) -> tuple[DataFrame, list[str]]:
+    features = aggregate.prefix_features(*select.prefix_distances(t.crops, t.labeled_crops, WIDTHS))
+    truth = oracles.oracle("balanced", features.select("image_id"), t.boxes, t.labeled).withColumnRenamed("score", "utility")
+    return staged(features.join(truth, "image_id"), "utility"), [c for c in features.columns if c != "image_id"]
+
+
 @query("s04_gbm_oracle")
 def _(t):
-    rows, names = select.prefix_distances(t.crops, t.labeled_crops, WIDTHS)
-    features = aggregate.prefix_features(rows, names)
-    truth = oracles.oracle("balanced", features.select("image_id"), t.boxes, t.labeled).withColumnRenamed("score", "utility")
-    data, cols = features.join(truth, "image_id"), [c for c in features.columns if c != "image_id"]
-    return select.ranked(ml.predict_utility(ml.fit_utility(data, cols, "utility", rounds=10), data), K)
+    data, cols = _utility(t)
+    half = sampling.bucket(F.col("image_id"), 1, 2)  # learnt on one half of the images, applied to the other
+    model = ml.fit_utility(data.where(half == 0), cols, "utility")
+    return select.ranked(ml.predict_utility(model, data.where(half == 1), cols), K)
 
 
 @query("m06_cross_validation")
 def _(t):
-    features = aggregate.prefix_features(*select.prefix_distances(t.crops, t.labeled_crops, WIDTHS))
-    truth = oracles.oracle("balanced", features.select("image_id"), t.boxes, t.labeled).withColumnRenamed("score", "utility")
-    return ml.cross_validate(features.join(truth, "image_id"), [c for c in features.columns if c != "image_id"], "utility", folds=3, rounds=5)
+    data, cols = _utility(t)
+    return ml.cross_validate(data, cols, "utility").select("fold", "n", "rho", "rounds", F.explode("gains").alias("g")).select("fold", "n", "rho", "rounds", "g.name", "g.gain")
 
 
 _quality = "WITH im AS (SELECT s.strategy, s.pct, s.image_id, count(cls) AS n, count(DISTINCT cls) AS u, coalesce(sum(w*h), 0) AS a FROM splits s LEFT JOIN boxes b USING (image_id) GROUP BY ALL), pc AS (SELECT strategy, pct, cls, count(*) AS c FROM splits JOIN boxes USING (image_id) GROUP BY ALL), pp AS (SELECT *, c / sum(c) OVER (PARTITION BY strategy, pct) AS p FROM pc), sp AS (SELECT strategy, pct, count(*) AS classes, -sum(p * ln(p + 1e-10)) AS entropy, max(p) AS top_share FROM pp GROUP BY 1, 2)"
@@ -374,10 +404,30 @@ def _(t):
     return select.ranked(matching.miss_scores(select.unlabeled(t.images, t.labeled), t.boxes, t.preds, t.labeled).select("image_id", "score"), 100)
 
 
-@query("s09_soft_f1")
+def _iou_of(a: str, b: str, eps: str = "") -> str:
+    """Overlap of two boxes given by SQL expressions; eps: added to the union, else an empty union gives 0."""
+    side = lambda c, w: f"greatest(least({a}.{c}+{a}.{w}/2, {b}.{c}+{b}.{w}/2) - greatest({a}.{c}-{a}.{w}/2, {b}.{c}-{b}.{w}/2), 0)"
+    area = lambda x: f"(({x}.xc+{x}.w/2)-({x}.xc-{x}.w/2))*(({x}.yc+{x}.h/2)-({x}.yc-{x}.h/2))"
+    inter = f"{side('xc', 'w')} * {side('yc', 'h')}"
+    union = f"{area(a)} + {area(b)} - {inter}"
+    return f"({inter} / ({union} + {eps}))" if eps else f"coalesce({inter} / nullif({union}, 0), 0)"
+
+
+_box = "{'box_seq': box_seq, 'cls': cls, 'xc': xc, 'yc': yc, 'w': w, 'h': h}"
+_fits = f"list_filter(s.rem, lambda b: b.cls = q.rem[1].cls AND {_iou_of('b', 'q.rem[1]', '1e-12')} > 0.7)"
+SOFT = f"""gl AS (SELECT image_id, list({_box} ORDER BY box_seq) AS gts FROM boxes GROUP BY 1),
+pl AS (SELECT image_id, list({{'rem': [{_box}], 'tp': conf, 'fp': CAST(0 AS DOUBLE)}} ORDER BY box_seq) AS ps FROM preds GROUP BY 1),
+fo AS (SELECT image_id, ps IS NULL AS none, list_reduce(list_prepend({{'rem': coalesce(gts, []), 'tp': CAST(0 AS DOUBLE), 'fp': CAST(0 AS DOUBLE)}}, coalesce(ps, [])),
+  lambda s, q: CASE WHEN len({_fits}) > 0 THEN {{'rem': list_filter(s.rem, lambda o: o.box_seq <> {_fits}[1].box_seq), 'tp': s.tp + q.tp, 'fp': s.fp}} ELSE {{'rem': s.rem, 'tp': s.tp, 'fp': s.fp + q.tp}} END) AS f
+  FROM images LEFT JOIN gl USING (image_id) LEFT JOIN pl USING (image_id) WHERE NOT labeled),
+s AS (SELECT image_id, CASE WHEN none THEN 'bg' ELSE 'frg' END AS status, (2*f.tp+1e-6) / (2*f.tp+f.fp+len(f.rem)+1e-6) AS score FROM fo),
+k AS (SELECT image_id, status, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY status ORDER BY round(score, 9), image_id) AS INTEGER) AS rank FROM s)"""
+
+
+@query("s09_soft_f1", f"WITH {SOFT} SELECT image_id, status, {R('score')} AS score, rank FROM k WHERE rank <= CASE status WHEN 'bg' THEN 20 ELSE 300 END")
 def _(t):
     images = select.unlabeled(t.images, t.labeled)
-    return select.two_budgets(matching.soft_f1(images, t.boxes, t.preds), 300, 20)
+    return select.two_budgets(matching.soft_f1(images, t.boxes, t.preds).withColumn("score", F.round("score", 9)), 300, 20)
 
 
 @query("s09_mean_conf", f"WITH m AS (SELECT image_id, avg(conf) AS m FROM preds GROUP BY 1), s AS (SELECT image_id, CASE WHEN m IS NULL THEN 'bg' ELSE 'frg' END AS status, coalesce(m, 1) AS score FROM images LEFT JOIN m USING (image_id) WHERE NOT labeled), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY status ORDER BY round(score, 9), image_id) AS INTEGER) AS rank FROM s) SELECT image_id, status, {R('score')} AS score, rank FROM k WHERE rank <= CASE status WHEN 'bg' THEN 20 ELSE 300 END")
@@ -386,7 +436,12 @@ def _(t):
     return select.two_budgets(scores, 300, 20)
 
 
-@query("m08_nms")
+_kept = _iou_of("o", "x[1]")
+
+
+@query("m08_nms", f"""WITH l AS (SELECT image_id, cls, list([{{'box_seq': box_seq, 'xc': xc, 'yc': yc, 'w': w, 'h': h, 'conf': conf}}] ORDER BY conf DESC, box_seq) AS l FROM preds WHERE conf > 0.25 GROUP BY ALL),
+k AS (SELECT image_id, cls, unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda o: {_kept} > 0.4)) > 0 THEN a ELSE list_concat(a, x) END)) AS b FROM l)
+SELECT image_id, cls, b.box_seq AS box_seq, {", ".join(f"round(b.{c}, 6) AS {c}" for c in ("xc", "yc", "w", "h", "conf"))} FROM k QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY b.conf DESC, b.box_seq) <= 300""")
 def _(t):
     return matching.suppress(t.preds, 0.4)
 
@@ -430,12 +485,21 @@ def _(t):
     return select.modular_sample(t.images.select("image_id"), F.col("image_id"), 30)
 
 
-@query("s10_nested_sample")
+@query("s10_nested_sample", "SELECT image_id FROM images QUALIFY row_number() OVER (ORDER BY md5(image_id || ':7'), image_id) <= round(0.3 * (SELECT count(*) FROM images))")
 def _(t):
     return select.nested_sample(t.images.select("image_id"), t.images.count(), 0.3, 7)
 
 
-@query("s11_background")
+@query("t08_pool_order", "SELECT image_id, row_number() OVER (ORDER BY (image_id * 7) % 1009, image_id) - 1 AS place FROM (SELECT image_id FROM images QUALIFY row_number() OVER (ORDER BY md5(image_id || ':3'), image_id) <= round(0.1 * (SELECT count(*) FROM images)))")
+def _(t):
+    pool = t.images.select("image_id", ((F.col("image_id") * 7) % 1009).alias("pos"))
+    return select.in_pool_order(pool, t.images.count(), 0.1, 3).select("image_id", "place")
+
+
+BACKGROUNDS = "bg AS (SELECT image_id FROM images WHERE NOT labeled AND image_id NOT IN (SELECT image_id FROM boxes) ORDER BY md5(image_id || ':7'), image_id LIMIT 20)"
+
+
+@query("s11_background", f"WITH {BACKGROUNDS} SELECT image_id FROM bg")
 def _(t):
     return select.add_backgrounds(t.images, t.boxes, t.labeled, 20, 7)
 
@@ -457,10 +521,11 @@ def _(t):
     return pool.crop_counts(t.crops, 3)
 
 
-@query("sk01_ordered_split", "WITH a AS (SELECT 0 AS section, image_id AS pos, image_id FROM images WHERE labeled UNION ALL SELECT 1, image_id, image_id FROM images WHERE image_id % 50 = 1 UNION ALL SELECT 2, image_id, image_id FROM images WHERE image_id % 50 = 2) SELECT section, pos, image_id FROM a")
+@query("sk01_ordered_split", f"WITH {BACKGROUNDS}, {POOL}, u AS (SELECT image_id, {FORMS['o04_combined'][1]} AS score FROM ub GROUP BY 1), s AS (SELECT image_id, coalesce(score, 0) AS score FROM images LEFT JOIN u USING (image_id) WHERE NOT labeled), se AS (SELECT image_id, row_number() OVER (ORDER BY score DESC, image_id) AS pos FROM s QUALIFY pos <= 100) SELECT 0 AS section, image_id AS pos, image_id FROM images WHERE labeled UNION ALL SELECT 1, pos, image_id FROM se UNION ALL SELECT 2, image_id, image_id FROM bg")
 def _(t):
-    part = lambda c: t.images.where(c).select(F.col("image_id").alias("pos"), "image_id")
-    return select.ordered_split(part("labeled"), part("image_id % 50 = 1"), part("image_id % 50 = 2"))
+    own = lambda df: df.select(F.col("image_id").alias("pos"), "image_id")
+    chosen = select.ranked(oracles.oracle("combined", select.unlabeled(t.images, t.labeled), t.boxes, t.labeled), 100)
+    return select.ordered_split(own(t.labeled), chosen.select(F.col("rank").alias("pos"), "image_id"), own(select.add_backgrounds(t.images, t.boxes, t.labeled, 20, 7)))
 
 
 @query("pj04_fraction_text", "SELECT DISTINCT p, regexp_replace(regexp_replace(printf('%.4f', p), '0+$', ''), '[.]$', '') AS tag FROM (SELECT l_quantity / 100.0 AS q, CAST(l_quantity AS DOUBLE) / 100 AS p FROM lineitem)")
@@ -475,17 +540,33 @@ def _(t):
     return t.crops.select("crop_id", V.interleave(maps, [16, 16, 32], 4).alias("v"))
 
 
-@query("m01_pca")
-def _(t):
-    return ml.transform_pca(ml.fit_pca(t.crops, 16), t.crops).select("crop_id", F.size("embedding").alias("dims"))
+_seen = "x AS (SELECT crop_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM crops), z AS (SELECT i, avg(v) AS m, stddev_samp(v) AS s FROM x WHERE CAST('0x' || substr(md5(crop_id || ':42'), 1, 15) AS BIGINT) % 5 = 0 GROUP BY 1)"
 
 
-@query("m03_l2", "SELECT crop_id, round(sqrt(list_sum([x*x FOR x IN e])), 3) AS n FROM (SELECT crop_id, [y / (sqrt(list_sum([x*x FOR x IN v])) + 1e-5) FOR y IN v] AS e FROM (SELECT crop_id, CAST(embedding AS DOUBLE[]) AS v FROM crops))")
+def _length(scale: bool, by: str) -> None:
+    """All components together keep a row's length, which checks the sample, the centre and the scale; single components are tested against numpy."""
+    name = "m02_scaled_pca" if scale else "m01_pca"
+    query(name, f"WITH {_seen} SELECT crop_id, round(sqrt(sum(((v - m) / {by}) * ((v - m) / {by}))), 4) AS length FROM x JOIN z USING (i) GROUP BY 1")(
+        lambda t: ml.transform_pca(ml.fit_pca(t.crops, 64, scale), t.crops).select("crop_id", F.round(V.norm(F.col("embedding")), 4).alias("length"))
+    )
+
+
+_length(False, "1")
+_length(True, "s")
+
+
+def _entries(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.posexplode("embedding").alias("at", "x"))
+
+
+@query("m03_l2", "SELECT crop_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS at, round(unnest(v) / (n + 1e-5), 6) AS x FROM (SELECT crop_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_sum([x*x FOR x IN CAST(embedding AS DOUBLE[])])) AS n FROM crops)")
 def _(t):
-    return ml.l2(t.crops).select("crop_id", F.round(V.norm(F.col("embedding")), 3).alias("n"))
+    return _entries(ml.l2(t.crops), "crop_id")
 
 
-@query("m04_batch_standard", "WITH x AS (SELECT crop_id, crop_id % 7 AS b, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM crops), z AS (SELECT b, i, avg(v) AS m, stddev_samp(v) AS s FROM x GROUP BY ALL) SELECT crop_id, round(sum(abs((v - m) / (s + 1e-5))), 4) AS total FROM x JOIN z USING (b, i) GROUP BY 1")
+@query("m04_batch_standard", "WITH x AS (SELECT crop_id, crop_id % 7 AS b, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM crops), z AS (SELECT b, i, avg(v) AS m, stddev_samp(v) AS s FROM x GROUP BY ALL) SELECT crop_id, CAST(i - 1 AS INTEGER) AS at, round((v - m) / (s + 1e-5), 6) AS x FROM x JOIN z USING (b, i)")
 def _(t):
-    out = ml.standardise_batches(t.crops.withColumn("batch_id", F.col("crop_id") % 7))
-    return out.select("crop_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x)), 4).alias("total"))
+    return _entries(ml.standardise_batches(t.crops.withColumn("batch_id", F.col("crop_id") % 7)), "crop_id")
+
+
+from tessella.plans import catalog_more  # noqa: E402, F401  registers the rest

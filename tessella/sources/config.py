@@ -6,42 +6,56 @@ import time
 from collections.abc import Callable
 
 FLAGS = frozenset("time skip_pca use_scaler".split())
-MODES = ("random", "distance", "density", "confidences", "confidence", "rgc", "matryoshka_variance", "gbm_oracle")
-MATRYOSHKA_ONLY = ("coarse_to_fine", "use_dim", "matryoshka_divs", "matryoshka_weights")
-
-
-def lint(cfg: dict, polygons: bool = False, known: frozenset[str] | None = None) -> list[tuple[str, str, str]]:
-    """(level, rule, message) for each fault; an error forbids the run."""
-    out: list[tuple[str, str, str]] = []
-    args = cfg.get("prepare_args") or {}
-    train = cfg.get("yolo_args") or {}
-
-    def say(level: str, rule: str, text: str) -> None:
-        out.append((level, rule, text))
-
-    if not isinstance(cfg.get("plots"), bool):
-        say("error", "plots", "plots must be true or false")
-    if args.get("seg2line") and not polygons:
-        say("error", "seg2line", "seg2line spoils labels that are boxes already")
-    if len(cfg.get("ranges") or []) < 2 and cfg.get("type") != "random_train":
-        say("error", "ranges", "a chain needs two fractions at least")
-    if not args.get("matryoshka") and (own := [k for k in MATRYOSHKA_ONLY if k in args]):
-        say("error", "matryoshka", f"only for nested vectors: {', '.join(own)}")
-    if args.get("skip_pca") and args.get("use_scaler"):
-        say("error", "scaler", "skip_pca and use_scaler exclude each other")
-    if args.get("pseudo_mean_conf") and cfg.get("mode") not in ("confidence", "confidences"):
-        say("error", "pseudo_mean_conf", "only the confidence mode has it")
-    if known is not None and (odd := sorted(set(args) - known)):
-        say("error", "keys", f"unknown: {', '.join(odd)}")
-    if "time" in cfg:
-        say("warning", "time", "only prepare_args.time counts")
-    for key in ("pretrained", "seed"):
-        if key not in train:
-            say("warning", key, f"{key} is not set")
-    divs, weights = (str(args.get(k, "")).split() for k in ("matryoshka_divs", "matryoshka_weights"))
-    if divs and weights and len(divs) != len(weights):
-        say("error", "lengths", "as many weights as divisors, please")
-    return out
+# Names of the configurations that the checks look at.
+BOX_DATASETS = ("VOC", "voc", "COCO", "coco")
+NESTED_ONLY = ("skip_pca", "coarse_to_fine", "use_dim")
+NESTED_MARKS = ("matryoshka", "matryoshka_shared_assign")
+RANGED = ("distance", "density", "confidence")
+
+
+def read_config(text: str) -> dict:
+    """SC16: a YAML mapping; anything else raises."""
+    import yaml
+
+    found = yaml.safe_load(text)
+    if not isinstance(found, dict):
+        raise ValueError("a configuration is a mapping")
+    return found
+
+
+def listed(value: object) -> list[str]:
+    """Items of a list, or of a text such as [0.2, 1.0] or 8,4,1."""
+    if isinstance(value, (list, tuple)):
+        return [str(v) for v in value]
+    return [v.strip() for v in str(value).strip("[]").split(",") if v.strip()]
+
+
+def lint(cfg: dict, name: str = "", known: frozenset[str] | None = None) -> list[tuple[str, str, str]]:
+    """(level, rule, message) for each fault; an error forbids the run. known: the keys that prepare_args may have."""
+    args, train = cfg.get("prepare_args") or {}, cfg.get("yolo_args") or {}
+    mode, data = cfg.get("mode", ""), cfg.get("dataset_name", "")
+    nested = any(m in train for m in NESTED_MARKS) or bool(args.get("skip_pca"))
+    divisors, weights = train.get("matryoshka_granularity_divs"), train.get("matryoshka_weights")
+    uneven = divisors is not None and weights is not None and len(listed(divisors)) != len(listed(weights))
+    every = [
+        ("error", "plots", not isinstance(cfg.get("plots"), bool), "plots must be true or false"),
+        ("warning", "seed", train.get("seed") is None, "without a seed a run can't be repeated"),
+        ("error", "lengths", uneven, "as many weights as divisors, please"),
+    ]
+    strange = sorted(set(args) - known) if known is not None else []
+    leaked = [k for k in NESTED_ONLY if args.get(k)] if mode == "distance" and not nested else []
+    chain = [
+        ("error", "seg2line", bool(args.get("seg2line")) and data in BOX_DATASETS, "seg2line spoils labels that are boxes already"),
+        ("error", "ranges", mode in RANGED and len(cfg.get("ranges") or []) < 2, "a chain needs two fractions at least"),
+        ("error", "nested", bool(leaked), f"only for nested vectors: {', '.join(leaked)}"),
+        ("error", "scaler", bool(args.get("skip_pca") and args.get("use_standard_scaler")), "skip_pca and use_standard_scaler exclude each other"),
+        ("error", "keys", bool(strange), f"unknown: {', '.join(strange)}"),
+        ("warning", "pretrained", train.get("pretrained") is None and "scratch" in name, "a run from scratch should say so"),
+        ("warning", "layers", mode == "distance" and not nested and not args.get("netron_layer_names"), "no layers are named; the default ones are used"),
+        ("warning", "subdir", str(data).upper() == "COCO" and args.get("train_subdir", "train") == "train", "these images lie under another folder"),
+    ]
+    rules = every if cfg.get("type") == "random_train" else every + chain
+    return [(level, rule, text) for level, rule, broken, text in rules if broken]
 
 
 def arguments(args: dict, known: frozenset[str], flags: frozenset[str] = FLAGS) -> list[str]:
@@ -60,17 +74,26 @@ def arguments(args: dict, known: frozenset[str], flags: frozenset[str] = FLAGS)
     return out
 
 
-def with_train_list(text: str, name: str) -> str:
-    """SK02: a data-set description with another train entry; quotes and comments of the line stay."""
+def with_train_list(text: str, expected: str, name: str) -> str:
+    """SK02: a data-set description whose train entry names another list.
+
+    Only an entry whose file is `expected` is changed; its folder, quotes and
+    comment stay. Raises where there is none.
+    """
     lines = text.splitlines(keepends=True)
     for i, line in enumerate(lines):
-        head, colon, rest = line.partition(":")
-        if head.strip() == "train" and colon:
-            body, mark, comment = rest.rstrip("\n").partition(" #")
-            quote = next((q for q in "\"'" if body.strip().startswith(q)), "")
-            lines[i] = f"{head}: {quote}{name}{quote}{mark}{comment}" + ("\n" if line.endswith("\n") else "")
-            return "".join(lines)
-    raise ValueError("no train entry")
+        if not line.startswith("train:"):
+            continue
+        body, mark, comment = line.rstrip("\n")[len("train:") :].partition("#")
+        value = body.strip()
+        quote = value[0] if len(value) > 1 and value[0] in "\"'" and value[-1] == value[0] else ""
+        folder, slash, file = value.strip(quote or None).rpartition("/")
+        if file != expected:
+            continue
+        end = "\n" if line.endswith("\n") else ""
+        lines[i] = f"train: {quote}{folder}{slash}{name}{quote}" + (f" #{comment}" if mark else "") + end
+        return "".join(lines)
+    raise ValueError(f"no train entry that names {expected}")
 
 
 def threshold(text: str) -> float:

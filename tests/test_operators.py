@@ -2,13 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import geometry as G
 from tessella.functions import names as N
 from tessella.functions import vectors as V
-from tessella.operators import aggregate, chains, knn, matching, metrics, ml, oracles, pool, ranking, select
+from tessella.operators import aggregate, ann, boost, chains, knn, matching, metrics, ml, oracles, pool, ranking, select
 from tessella.sources import config, files
 
 BOX = "image_id string, box_seq int, cls int, xc double, yc double, w double, h double"
@@ -87,20 +88,64 @@ def test_sources(spark, tmp_path):
 
 
 def test_config():
-    good = {"plots": True, "ranges": [0.2, 0.3], "mode": "distance", "yolo_args": {"pretrained": False, "seed": 0}}
-    assert config.lint(good) == []
-    bad = {"ranges": [0.2], "time": True, "prepare_args": {"seg2line": True, "use_dim": 4, "skip_pca": True, "use_scaler": True, "pseudo_mean_conf": True}}
-    assert {r for _, r, _ in config.lint(bad)} == {"plots", "ranges", "seg2line", "matryoshka", "scaler", "pseudo_mean_conf", "time", "pretrained", "seed"}
+    good = {"plots": True, "ranges": [0.2, 0.3], "mode": "density", "yolo_args": {"pretrained": False, "seed": 0}}
+    assert config.lint(good) == [] and config.lint(good | {"mode": "random", "ranges": []}) == []
+    bad = {"mode": "distance", "dataset_name": "COCO", "ranges": [0.2], "prepare_args": {"seg2line": True, "use_dim": 4, "odd": 1}, "yolo_args": {"matryoshka_weights": "[1, 2]", "matryoshka_granularity_divs": "8,4,1"}}
+    assert {r for _, r, _ in config.lint(bad, "a_scratch.yaml", frozenset(["seg2line", "use_dim"]))} == {"plots", "ranges", "seg2line", "nested", "lengths", "seed", "pretrained", "layers", "subdir", "keys"}
+    assert {r for _, r, _ in config.lint(good | {"prepare_args": {"skip_pca": True, "use_standard_scaler": True}})} == {"scaler"}
+    assert {r for _, r, _ in config.lint(bad | {"type": "random_train"})} == {"plots", "lengths", "seed"}
+    cfg = config.read_config("mode: density # x\nranges: [0.2, 0.3]\nplots: false\nyolo_args:\n  seed: 1\n  name: \"${mode}_x\"\n")
+    assert cfg["ranges"] == [0.2, 0.3] and cfg["yolo_args"]["name"] == "${mode}_x" and config.lint(cfg) == []
+    with pytest.raises(ValueError):
+        config.read_config("- a")
     assert config.arguments({"skip_pca": True, "use_dim": 4, "divs": [8, 4]}, frozenset(["skip_pca", "use_dim", "divs"])) == ["--skip-pca", "--use-dim", "4", "--divs", "8", "4"]
     with pytest.raises(ValueError):
         config.arguments({"x": 1}, frozenset())
-    assert config.with_train_list("path: .\ntrain: 'old.txt' # keep\nval: v\n", "new.txt") == "path: .\ntrain: 'new.txt' # keep\nval: v\n"
+    assert config.with_train_list("path: .\ntrain: 'lists/old.txt' # keep\nval: v\n", "old.txt", "new.txt") == "path: .\ntrain: 'lists/new.txt' # keep\nval: v\n"
+    assert config.with_train_list("train: a.txt\ntrain: b/old.txt", "old.txt", "new.txt") == "train: a.txt\ntrain: b/new.txt"
+    for text in ("val: old.txt", "train: other.txt", "train:"):
+        with pytest.raises(ValueError):
+            config.with_train_list(text, "old.txt", "new.txt")
     assert config.threshold("0.47\nx") == 0.47
     timer = config.StepTimer(iter([0.0, 1.5]).__next__)
     timer.mark("a")
     assert timer.text() == "a\t1.500\n"
 
 
+def test_stored_tables(spark, tmp_path):
+    a, b = (spark.createDataFrame([(i, float(i) / 2)], "crop_id long, similarity double") for i in (1, 2))
+    path = str(tmp_path / "similarity")
+    files.write_similarity(a, path, "1")
+    files.write_similarity(b, path, "2")
+    files.write_similarity(b, path, "2")  # a batch that is done again
+    assert sorted(map(tuple, files.read_similarity(spark, path).collect())) == [(1, 0.5), (2, 1.0)]
+    made = []
+    make = lambda: made.append(1) or a
+    for _ in range(2):
+        assert files.cached(spark, str(tmp_path / "cache"), make).count() == 1
+    assert made == [1]
+    c = crops(spark)
+    files.write_neighbours(knn.top_similar(c.where("cls <> 1"), c.where("cls = 1"), 3), str(tmp_path / "near"))
+    assert spark.read.parquet(str(tmp_path / "near")).columns == ["fp_id", "rank", "crop_id", "sim"]
+    assert files.with_alias(c, {1: "car"}, "car").count() == files.with_alias(c, {}, 1).count() == 15 and files.with_alias(c, {}, None).count() == 60
+    with pytest.raises(ValueError):
+        files.with_alias(c, {1: "car"}, "cat")
+    m = files.embedding_matrix(c, 4).first().embedding
+    assert len(m) == 4 and sum(v * v for v in m) == pytest.approx(1)
+
+
+def test_image_sizes(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (300).to_bytes(4, "big") + (200).to_bytes(4, "big")
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc2\x00\x0b\x08" + (480).to_bytes(2, "big") + (640).to_bytes(2, "big") + b"\x03" * 6
+    for name, data in (("a.jpg", jpeg), ("b.jpg", png), ("c.jpg", b"\xff\xd8"), ("d.jpg", b"x"), ("e.jpg", b"GIF89a\x05\x00\x04\x00")):
+        (tmp_path / name).write_bytes(data)
+    got = {r.image_id: (r.width, r.height) for r in files.read_sizes(spark, str(tmp_path)).collect()}
+    assert got == {"a": (640, 480), "b": (300, 200), "c": (None, None), "d": (None, None), "e": (5, 4)}
+    lines = spark.createDataFrame([("a", "3 " + " ".join(["0.5 0.5"] * 60_000 + ["0.9 0.8"]))], "image_id string, value string")
+    box = files.parse_polygons(lines, spark.createDataFrame([("a", 1000, 1000)], "image_id string, width int, height int")).first()
+    assert (box.cls, box.w, box.h) == (3, pytest.approx(0.4), pytest.approx(0.3))
+
+
 def test_soft_f1(spark):
     images = spark.createDataFrame([(x,) for x in ("none", "fp", "fn", "two")], "image_id string")
     box = (0, 0.5, 0.5, 0.2, 0.2)
@@ -138,8 +183,6 @@ def test_jaccard_conventions(spark):
 
 
 def crops(spark, n=60, seed=0):
-    import numpy as np
-
     x = np.random.default_rng(seed).normal(size=(n, 8))
     return spark.createDataFrame([(i, i // 3, i % 4, [float(v) for v in r]) for i, r in enumerate(x)], "crop_id long, image_id long, cls int, embedding array<float>")
 
@@ -150,21 +193,55 @@ def test_knn_blocks_and_selection(spark):
     known, rest = select.split_crops(c, labeled)
     as_map = lambda df: {r.crop_id: [[round(v, 9) for v in d] for d in r.distances] for r in df.collect()}
     whole = as_map(knn.knn_distances(rest, known, 3, [4, 8]))
-    assert whole == as_map(knn.knn_distances(rest, known, 3, [4, 8], block=5)) and all(len(d) == 3 for v in whole.values() for d in v)
+    assert whole == as_map(knn.knn_distances(rest, known, 3, [4, 8], cells=9)) and all(len(d) == 3 for v in whole.values() for d in v)
     assert all(d == [[]] for d in as_map(knn.knn_distances(rest, known.limit(0), 3)).values())
     ids = lambda df: [r.image_id for r in df.orderBy("rank").collect()]
     best = ids(select.distance(c, labeled, 5))
-    assert best == ids(select.voting([c], labeled, 5)) == ids(select.coarse_to_fine(c, labeled, 5, 8, k1=10, k2=10, d1=1, d2=1))
+    assert best == ids(select.voting([c], labeled, 5)) == ids(select.voting_stretches(c, labeled, 5, [(0, 8)])) == ids(select.coarse_to_fine(c, labeled, 5, 8, k1=10, k2=10, d1=1, d2=1))
     mean = {r.image_id: r.score for r in aggregate.by_image(select.distance_scores(c, labeled), "mean").collect()}
     total = {r.image_id: r.score for r in aggregate.by_image(select.distance_scores(c, labeled), "sum").collect()}
     assert all(abs(3 * mean[k] - total[k]) < 1e-9 for k in mean)
     with pytest.raises(ValueError):
         aggregate.by_image(select.distance_scores(c, labeled), "odd")
-    pairs = knn.pair_similarity(c.where("cls <> 1"), c.where("cls = 1")).groupBy("left_id").agg(F.sum("sim").alias("s"))
+    rows = [(r.crop_id, r.cls, np.array(r.embedding, float)) for r in c.collect()]
+    sim = {(f, o): float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)) for f, a, x in rows if a == 1 for o, b, y in rows if b != 1}
     sums = {r.crop_id: r.similarity for r in knn.similarity_sum(c.where("cls <> 1"), c.where("cls = 1")).collect()}
-    assert all(abs(sums[r.left_id] - r.s) < 1e-9 for r in pairs.collect())
-    tops = lambda b: sorted((r.fp_id, r["rank"], r.crop_id) for r in knn.top_similar(c.where("cls <> 1"), c.where("cls = 1"), 4, b).collect())
-    assert tops(3) == tops(1000) and len(tops(1000)) == 60
+    assert all(abs(sums[o] - sum(v for (_, x), v in sim.items() if x == o)) < 1e-6 for o in sums)
+    want = sorted((f, n + 1, o) for f in {f for f, _ in sim} for n, (_, o) in enumerate(sorted((-v, o) for (x, o), v in sim.items() if x == f)[:4]))
+    for cells in (None, 1, 9):
+        assert sorted((r.fp_id, r["rank"], r.crop_id) for r in knn.top_similar(c.where("cls <> 1"), c.where("cls = 1"), 4, cells).collect()) == want
+
+
+def test_knn_repeats_and_grids(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 4)).astype(np.float32)
+    rows = [(i % 30, 0, 0, x[i % 20].tolist()) for i in range(90)] + [(99, 0, 0, None)]  # ids and vectors repeat
+    df = spark.createDataFrame(rows, "crop_id long, image_id long, cls int, embedding array<float>").repartition(3)
+    pool = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[20:])], "crop_id long, embedding array<float>").repartition(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = np.sort(1 - unit(x[:20].astype(float)[:, :3]) @ unit(x[20:].astype(float)[:, :3]).T, axis=1)[:, :4]
+    want = sorted((i % 30, *near[i % 20].round(9)) for i in range(90))
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(knn, "POOL_BLOCK", 11)
+    for cells in (None, 1, 4, 30):
+        got = knn.knn_distances(df, pool, 4, [3], cells)
+        assert got.columns == [*df.columns, "distances"]
+        assert sorted((r.crop_id, *np.round(r.distances[0], 9)) for r in got.collect()) == want
+
+
+def test_lists_around_centres(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(12, 16)) * 2
+    x = centre[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 16))
+    pool = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[100:])], "crop_id long, embedding array<float>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:100])], "crop_id long, embedding array<float>")
+    centres = ann.fit_centres(pool, 24)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    order = np.argsort(-(unit(x[:100].astype(np.float32).astype(float)) @ unit(x[100:].astype(np.float32).astype(float)).T), axis=1)[:, :5]
+    exact = spark.createDataFrame([(i, int(j)) for i, r in enumerate(order) for j in r], "query_id long, crop_id long")
+    assert ann.recall_of(ann.nearest(asked, pool, centres, 5, 8), exact) >= 0.9
+    assert ann.recall_of(ann.nearest(asked, pool, centres, 5, len(centres)), exact) == 1
+    assert ann.fit_centres(pool.limit(0), 4).shape == (0, 0)
 
 
 def test_rank_properties(spark):
@@ -218,6 +295,86 @@ def test_baseline(spark):
             select.baseline_budget(ids(start), ids(base), ids("abcd"))
 
 
+def test_percentiles_by_ranges(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.0, rng.random(), rng.random()])) for _ in range(400)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: (r.low, r.mid, r.high) for r in ranking.percentiles_of(df, F.col("v"), {"low": 0.25, "mid": 0.5, "high": 0.75}, "g").collect()}
+    assert set(got) == {"a", "b", None}
+    for g, found in got.items():
+        assert found == pytest.approx(tuple(np.percentile([v for x, v in rows if x == g and v is not None], [25, 50, 75])))
+    assert ranking.percentiles_of(df, F.col("v"), {"m": 0.5}).first().m == pytest.approx(np.median([v for _, v in rows if v is not None]))
+
+
+def test_boosted_trees():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 4))
+    y = np.where(x[:, 0] > 0.3, 4.0, 0.0) + x[:, 1] ** 2
+    x[::17, 2] = np.nan
+    model = boost.Boosted(x[:450], y[:450], (x[450:], y[450:]))
+    error = np.abs(model.predict(x[450:]) - y[450:]).mean()
+    assert error < 0.2 * np.abs(y[450:] - y.mean()).mean()
+    assert 20 < len(model.trees) <= 300 and model.gains[0] > model.gains[1] > 10 * model.gains[2:].max()
+
+    def walk(tree, row):  # one row after the other
+        node = 0
+        while tree.feature[node] >= 0:
+            node = tree.left[node] if row[tree.feature[node]] <= tree.cut[node] else tree.right[node]
+        return tree.value[node]
+
+    bins = boost.binned(x[:20], model.cuts)
+    assert model.predict(x[:20]) == pytest.approx([model.start + model.rate * sum(walk(t, r) for t in model.trees) for r in bins])
+    errors = [np.abs(y[450:] - p).mean() for p in np.cumsum([model.start + 0 * y[450:], *(model.rate * t.predict(boost.binned(x[450:], model.cuts)) for t in model.trees)], axis=0)]
+    assert int(np.argmin(errors)) == len(model.trees)  # the best round is the last one kept
+    noise = boost.Boosted(x[:300], rng.normal(size=300), (x[300:], rng.normal(size=300)))
+    assert len(noise.trees) < 40
+    first = boost.Boosted(x[:450], y[:450], None, 1, leaves=2, rate=1.0).trees[0]
+    splits = [(s, f) for f in range(4) for s in np.unique(boost.binned(x[:450], model.cuts)[:, f])]
+    b = boost.binned(x[:450], boost.bin_cuts(x[:450]))
+    loss = lambda m: sum(((y[:450][k] - y[:450][k].mean()) ** 2).sum() for k in (m, ~m))
+    able = [(loss(b[:, f] <= s), f, s) for s, f in splits if min((b[:, f] <= s).sum(), (b[:, f] > s).sum()) >= 20]
+    assert loss(b[:, first.feature[0]] <= first.cut[0]) == pytest.approx(min(able)[0])
+    assert boost.rank_correlation(np.array([1, 2, 2, 5.0]), np.array([1, 3, 3, 4.0])) == pytest.approx(1) and boost.rank_correlation(np.ones(3), np.arange(3.0)) is None
+
+
+def test_utility_model(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 2))
+    f = spark.createDataFrame([(i, float(a), float(b), float(3 * a + b)) for i, (a, b) in enumerate(x)], "image_id long, a double, b double, y double")
+    cv = ml.cross_validate(f, ["a", "b"], "y").collect()
+    assert sorted(r.fold for r in cv) == list(range(5)) and sum(r.n for r in cv) == 400 and all(r.rho > 0.9 and r.rounds <= 300 and r.gains[0].gain > r.gains[1].gain for r in cv)
+    model = ml.fit_utility(f.where("image_id < 300"), ["a", "b"], "y")
+    ml.save_model(model, spark, str(tmp_path / "model"))
+    same = ml.load_model(spark, str(tmp_path / "model"))
+    new = f.where("image_id >= 300")
+    got = {r.image_id: r.score for r in ml.predict_utility(same, new, ["a", "b"]).collect()}
+    assert len(got) == 100 and boost.rank_correlation(np.array([got[i] for i in range(300, 400)]), 3 * x[300:, 0] + x[300:, 1]) > 0.9
+
+
+def test_pca_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(80, 5)) * [5, 3, 2, 1, 0.5] + 7).astype(np.float32).astype(float)
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "crop_id long, embedding array<double>")
+    for scale in (False, True):
+        z = (x - x.mean(0)) / (x.std(0, ddof=1) if scale else 1)
+        want = z @ np.linalg.svd(z, full_matrices=False)[2][:3].T
+        rows = ml.transform_pca(ml.fit_pca(c, 3, scale, one_in=1), c).orderBy("crop_id").collect()
+        got = np.array([r.embedding for r in rows])
+        assert np.allclose(got * np.sign((got * want).sum(0)), want, atol=1e-6)
+
+
+def test_samples(spark):
+    images = spark.createDataFrame([(i, 1000 - i) for i in range(200)], "image_id long, pos long")
+    small = {r.image_id for r in select.nested_sample(images, 200, 0.1, 7).collect()}
+    large = {r.image_id for r in select.nested_sample(images, 200, 0.3, 7).collect()}
+    assert len(small) == 20 and len(large) == 60 and small < large != {r.image_id for r in select.nested_sample(images, 200, 0.3, 8).collect()}
+    placed = select.in_pool_order(images, 200, 0.1, 7).orderBy("place").collect()
+    assert [r.place for r in placed] == list(range(20)) and [r.pos for r in placed] == sorted(r.pos for r in placed) and {r.image_id for r in placed} == small
+    assert select.in_pool_order(images, 200, 0.0001, 7).count() == 1
+    with pytest.raises(ValueError):
+        select.in_pool_order(images, 1000, 0.5, 7)
+
+
 def test_models(spark):
     c = crops(spark)
     model = ml.fit_pca(c, 100, one_in=1)

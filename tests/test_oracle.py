@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,7 +22,7 @@ def duck():
 
 
 def rows(pdf):
-    plain = lambda x: tuple(float(v) for v in x) if isinstance(x, (list, np.ndarray)) else None if x is None or x != x else float(x) if isinstance(x, (int, float, np.number)) else x
+    plain = lambda x: tuple(float(v) for v in x) if isinstance(x, (list, np.ndarray)) else None if pd.api.types.is_scalar(x) and pd.isna(x) else float(x) if isinstance(x, (int, float, np.number)) else x
     return sorted((tuple(map(plain, r)) for r in pdf[sorted(pdf.columns)].astype(object).values), key=repr)
 
 
@@ -33,9 +34,16 @@ def test_query(spark, duck, name):
         assert all(x == y or isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 2e-6 for x, y in zip(a, b, strict=True)), (a, b)
 
 
-@pytest.mark.parametrize("name", ["s09_soft_f1", "m08_nms", "s10_nested_sample", "s11_background", "m01_pca"])
-def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_queries_without_sql(spark):
+    """What SQL can't express; the operators behind them are tested by numbers in test_operators."""
+    assert sorted(set(QUERIES) - set(ORACLE)) == ["j08_index", "m06_cross_validation", "s04_gbm_oracle"]
+    folds = QUERIES["m06_cross_validation"](spark, SF).toPandas()
+    assert sorted(folds["fold"].unique()) == list(range(5)) and folds.groupby("fold")["n"].first().sum() == QUERIES["a06_prefix_features"](spark, SF).count()
+    ranked = QUERIES["s04_gbm_oracle"](spark, SF).toPandas()
+    assert list(ranked["rank"]) == list(range(1, 21)) and ranked["score"].is_monotonic_decreasing
+    exact = QUERIES["j07_knn_distances"](spark, SF).toPandas().groupby("crop_id")["dist"].max()
+    near = QUERIES["j08_index"](spark, SF).toPandas()
+    assert (near["dist"] <= near["query_id"].map(exact) + 1e-9).mean() >= 0.9  # the share of the true five nearest
 
 
 def test_entry(spark):
