@@ -9,6 +9,7 @@ import types
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,23 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], Iterator[dict[str, l
     return df.mapInArrow(run, kind)
 
 
+_POWER = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+_STEPS = np.cumprod(np.full(1 << 12, _POWER[-1], np.uint64), dtype=np.uint64)  # for places beyond, by two digits
+
+
+def powers(at: np.ndarray) -> np.ndarray:
+    """A fixed odd multiplier's power of at + 1, whatever the place."""
+    out = _POWER[at & 4095]
+    far = np.flatnonzero(at > 4095)
+    if len(far):
+        high = (at[far] >> 12) - 1
+        out[far] *= _STEPS[high & 4095]
+        turns = high >> 12
+        for k in range(int(turns.max())):  # places beyond 16 million
+            out[far[turns > k]] *= _STEPS[-1]
+    return out
+
+
 def crc_mod(column: str, n: int) -> F.Column:
     """crc32 of the id as text, modulo n: the folds of the contracts. Null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))

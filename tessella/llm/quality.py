@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import crc_mod, map_rows, worker_cache
+from tessella.llm.common import crc_mod, map_rows, powers, worker_cache
 
 BITS = 18
 #: The sample's bound: so many labelled rows are expected at most.
@@ -28,22 +28,6 @@ for _i, _c in enumerate(b"!?.,;:|#$%&*+-=/<>()[]{}@~^_\"'"):
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MIX = np.random.default_rng(7).integers(1, 1 << 62, 256, dtype=np.uint64) | np.uint64(1)
-_POWER = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
-_STEPS = np.cumprod(np.full(1 << 12, _POWER[-1], np.uint64), dtype=np.uint64)  # powers for places beyond, by two digits
-
-
-def _power(at: np.ndarray) -> np.ndarray:
-    """The multiplier's power at + 1, whatever the place."""
-    out = _POWER[at & 4095]
-    far = np.flatnonzero(at > 4095)
-    if len(far):
-        high = at[far] >> 12
-        step = _STEPS[(high - 1) & 4095]
-        out[far] *= step
-        turns = (high - 1) >> 12
-        for k in range(int(turns.max(initial=0))):  # words of over 16 million bytes
-            out[far[turns > k]] *= _STEPS[-1]
-    return out
 
 
 def _slot(x: np.ndarray, salt: int) -> np.ndarray:
@@ -67,7 +51,7 @@ def features(text: str | None) -> np.ndarray:
     if len(first):
         last = np.flatnonzero(~space & np.concatenate((space[1:], [True])))
         at = np.arange(len(b)) - np.repeat(np.concatenate(([0], first[1:])), np.diff(np.concatenate(([0], first[1:], [len(b)]))))
-        hashed = np.where(space, np.uint64(0), _MIX[b] * _power(at))
+        hashed = np.where(space, np.uint64(0), _MIX[b] * powers(at))
         words = np.add.reduceat(hashed, first)
         again = np.concatenate(([False], words[1:] == words[:-1]))
         view = np.where(again, 1, 2 + _KIND[b[first]].astype(np.uint64) * np.uint64(64) + _KIND[b[last]]).astype(np.uint64)

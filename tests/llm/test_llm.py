@@ -378,6 +378,50 @@ def test_decontamination(spark):
     assert decontaminate.find(docs, bench.limit(0)).count() == 0 and decontaminate.find(empty_docs(spark), bench).count() == 0
 
 
+def test_hashed_words_and_places():
+    texts = ["Hello, wörld!  x_1", None, "", "İstanbul—ab AB", "a" * 5000 + "b " + "a" * 5000 + "c", "\u0301 é"]
+    h, start, end, cuts = decontaminate.hashed(texts)
+    want = [[m.span() for m in re.finditer(r"\w+", decontaminate.folded(t or ""))] for t in texts]
+    assert [list(zip(start[x:y].tolist(), end[x:y].tolist(), strict=True)) for x, y in zip(cuts, cuts[1:])] == want
+    words = [t[a:b].lower() for t, spans in zip(texts, want, strict=True) for a, b in spans]
+    assert len(set(h.tolist())) == len({decontaminate.folded(w) for w in words})
+    assert texts[0][start[1] : end[1]] == "wörld" and texts[3][start[cuts[3]] : end[cuts[3]]] == "İstanbul"
+    alone = np.concatenate([decontaminate.hashed([t])[0] for t in texts])
+    assert alone.tolist() == h.tolist()
+
+
+def test_decontamination_places(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    item, noise = [word() for _ in range(60)], lambda n: " ".join(word() for _ in range(n))
+    twice = f"{noise(50)} {' '.join(item)} {noise(90)} {' '.join(item[:50])} İ {noise(20)}"
+    partial = f"{noise(30)} {' '.join(item[5:27])} {noise(30)}"
+    little = f"{noise(30)} {' '.join(item[5:14])} {noise(30)}"
+    docs = edge_docs(spark, [twice, partial, little]).withColumn("item_id", F.lit("clash")).withColumn("score", F.lit(1))
+    bench = spark.createDataFrame([(None, " ".join(item)), (7, "one"), (8, " ")], "item_id long, text string")
+    got = decontaminate.find(docs, bench).collect()
+    assert {r.item_id for r in got} == {None}
+    found = sorted((r.doc_id, r.start, r.end, r.score) for r in got)
+    at = twice.index(item[0])
+    again = twice.index(item[0], at + 1)
+    assert [f[:3] for f in found if f[0] == 8] == [(8, at, at + len(" ".join(item))), (8, again, again + len(" ".join(item[:50])))]
+    assert [round(f[3], 3) for f in found if f[0] == 9] == [round(22 / 60, 3)] and {f[0] for f in found} == {8, 9}
+    assert partial[found[-1][1] : found[-1][2]] == " ".join(item[5:27])
+
+
+def test_decontamination_recall_against_all_pairs(spark):
+    docs, bench = sf_docs(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = {r.item_id: decontaminate.hashed([r.text])[0] for r in bench.collect()}
+    want = set()
+    for r in docs.collect():
+        h = decontaminate.hashed([r.text])[0]
+        for i, w in items.items():
+            if len(np.intersect1d(h, w)) >= min(0.5 * len(w), 16) / 2 and decontaminate.align(w, h)[0] >= min(0.5 * len(w), 16):
+                want.add((r.doc_id, i))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, bench).collect()}
+    assert want and got <= want and len(got & want) >= 0.9 * len(want)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (None, 3), (200, 150)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from tessella.llm import quality
+from tessella.llm.common import powers
 from tessella.llm.tokens import Encoder
 
 
@@ -28,6 +29,6 @@ def test_mixed_texts_have_the_librarys_ids():
 def test_word_positions_count_without_bound():
     at = np.array([0, 4095, 4096, 8191, 8192, (1 << 24) + 4096 + 5])
     m = 0x9E3779B97F4A7C15
-    assert quality._power(at).tolist() == [pow(m, int(a) + 1, 1 << 64) for a in at]
+    assert powers(at).tolist() == [pow(m, int(a) + 1, 1 << 64) for a in at]
     word = "x" * 5000
     assert set(quality.features(word + "ab").tolist()) != set(quality.features(word + "ba").tolist())
