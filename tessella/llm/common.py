@@ -32,9 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch on its way to Python, and the session's default.
+BATCH_BYTES, DEFAULT_BYTES = "4194304", "67108864b"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets batches of long texts end by their bytes, well under Spark's default; a session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == DEFAULT_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends here, lost executors lose nothing."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -59,6 +71,7 @@ SLICE = 2048
 
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], Iterator[dict[str, list]]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow over Python lists: fn gets an iterator of {column: list} and yields the same; arrays may stand for lists."""
+    bounded_batches(df.sparkSession)
     kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
