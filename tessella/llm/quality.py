@@ -21,6 +21,7 @@ from tessella.llm.common import crc_mod, map_rows, powers, worker_cache
 BITS = 18
 #: The sample's bound: so many labelled rows are expected at most.
 MAX_TRAIN = 6000
+PENALTY = 1.0
 _KIND = np.zeros(256, np.uint8)
 _KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[128:] = 1, 2, 3, 3
 for _i, _c in enumerate(b"!?.,;:|#$%&*+-=/<>()[]{}@~^_\"'"):
@@ -99,7 +100,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, blend: float = 0.75) -> Model:
         for i in index:
             counts[y[i]][rows[i]] += 1
         ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-        w, bias = hinge_weights(rows, index, ratio, y)
+        w, bias, _ = hinge_weights(rows, index, ratio, y)
         mean = np.abs(w).sum() / max(1, np.count_nonzero(w))
         return ((1 - blend) * mean + blend * w) * ratio, bias
 
@@ -115,27 +116,34 @@ def fit(rows: list[np.ndarray], y: np.ndarray, blend: float = 0.75) -> Model:
     return Model(w.astype(np.float32), bias, slope, intercept)
 
 
-def hinge_weights(rows: list[np.ndarray], index: np.ndarray, ratio: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Squared hinge loss by dual coordinate descent. Each indicator weighs its ratio / sqrt(features of the row)."""
+def hinge_weights(rows: list[np.ndarray], index: np.ndarray, ratio: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: int = 200, tolerance: float = 0.01) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and dual variables of a linear model under hinge loss, by dual coordinate descent.
+
+    Each indicator weighs its ratio / sqrt(features of the row). A row's dual
+    variable lies between 0 and its cost, the penalty over its class's share.
+    Rounds go over the rows in random order until no step violates the
+    conditions of the optimum by more than the tolerance.
+    """
     w, bias, rng = np.zeros(len(ratio)), 0.0, np.random.default_rng(0)
     values = [ratio[rows[i]] / np.sqrt(len(rows[i])) for i in index]
     sign = np.where(y[index] > 0, 1.0, -1.0)
-    cost = np.where(sign > 0, len(index) / (2 * (sign > 0).sum()), len(index) / (2 * (sign < 0).sum()))
-    alpha, norm = np.zeros(len(index)), np.array([v @ v + 1 for v in values]) + 0.5 / cost
-    for _ in range(25):
-        most = 0.0
+    cost = penalty * np.where(sign > 0, len(index) / (2 * (sign > 0).sum()), len(index) / (2 * (sign < 0).sum()))
+    alpha, norm = np.zeros(len(index)), np.array([v @ v + 1 for v in values])
+    for _ in range(rounds):
+        worst = 0.0
         for i in rng.permutation(len(index)):
             row = rows[index[i]]
-            gradient = sign[i] * (w[row] @ values[i] + bias) - 1 + alpha[i] * 0.5 / cost[i]
-            step = max(alpha[i] - gradient / norm[i], 0.0) - alpha[i]
-            if step:
+            gradient = sign[i] * (w[row] @ values[i] + bias) - 1
+            beyond = min(gradient, 0.0) if alpha[i] == 0 else max(gradient, 0.0) if alpha[i] == cost[i] else gradient
+            if beyond:
+                worst = max(worst, abs(beyond))
+                step = min(max(alpha[i] - gradient / norm[i], 0.0), cost[i]) - alpha[i]
                 alpha[i] += step
                 w[row] += step * sign[i] * values[i]
                 bias += step * sign[i]
-                most = max(most, abs(step) * norm[i])
-        if most < 0.02:
+        if worst < tolerance:
             break
-    return w, bias
+    return w, bias, alpha
 
 
 def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:

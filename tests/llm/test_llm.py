@@ -187,6 +187,36 @@ def test_linked_secrets(spark):
     assert secret_scan.scan(empty_docs(spark)).count() == 0
 
 
+def brute_links(text, base, reach):
+    """Every candidate against every other part."""
+    found = [(m.start(), 3, m.end()) for m in secret_scan.IDENTIFIER.finditer(text)]
+    found += [(m.start(), 4, m.end()) for m in secret_scan.RANDOM.finditer(text) if secret_scan.looks_random(m.group())]
+    found += [(m.start(), 5, m.end()) for m in secret_scan.ENDPOINT.finditer(text)]
+    weak = [x for x in found if not any(x[0] < e and s < x[2] for s, _, e, _ in base)]
+    parts = [(s, k, e) for s, k, e, _ in base] + weak
+    role = {0: "secret", 1: "id", 2: "secret", 3: "id", 4: "secret", 5: "url"}
+    scope = lambda at: len([m for m in re.finditer(r"\n[ \t]*\n", text) if m.start() <= at])
+    near = lambda x, r: any(role[p[1]] == r and abs(p[0] - x[0]) <= reach and scope(p[0]) == scope(x[0]) for p in parts)
+    keep = {3: lambda x: near(x, "secret"), 4: lambda x: near(x, "id"), 5: lambda x: near(x, "id") and near(x, "secret")}
+    return sorted(x for x in weak if keep[x[1]](x))
+
+
+def test_links_by_brute_force():
+    rng = random.Random(12)
+    parts = ["client_id=abcd99", "login: bob77", "wJalrXUtnFEMIK7MDENGbPxRfi", "password=hunter22", "0f" * 14, "AKIA" + "Z9" * 9, "https://h.example/x?y=1", "\n\n", "\n \n", " ", " word ", "\n", "secret='" + "0f" * 14 + "/" + "0f" * 14 + "=" + "0f" * 14 + "." + "0f" * 14 + "'"]
+    linked = 0
+    for _ in range(3000):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        reach = rng.choice([20, 60, 400])
+        base = secret_scan.base_spans(text)
+        got = [x[:3] for x in secret_scan.linked_spans(text, base, reach)]
+        assert got == brute_links(text, base, reach), text
+        linked += len(got)
+    assert linked > 1000
+    inside = "token=" + ".".join(["0f" * 13] * 4) + "aB3" * 12
+    assert [k for _, k, _, _ in secret_scan.spans(f"login: bob77 {inside}")[1]] == [3, 0, 2, 2, 2, 2]
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, labels)
@@ -201,6 +231,26 @@ def test_quality(spark):
     assert {r.score for r in quality.score(docs.limit(3), nothing).collect()} == {0.5}
 
 
+def test_dual_solution_meets_the_conditions_of_the_optimum():
+    rng = np.random.default_rng(4)
+    y = (rng.random(120) < 0.3).astype(int)
+    rows = [np.unique(np.concatenate((rng.integers(0, 40, 8), rng.integers(40, 60, 5) + 20 * v * (rng.random(5) < 0.4)))) for v in y]
+    ratio = rng.normal(size=100)
+    w, bias, alpha = quality.hinge_weights(rows, np.arange(120), ratio, y, rounds=5000, tolerance=1e-6)
+    values = np.zeros((120, 100))
+    for i, r in enumerate(rows):
+        values[i, r] = ratio[r] / np.sqrt(len(r))
+    sign = np.where(y > 0, 1.0, -1.0)
+    cost = np.where(y > 0, 60 / y.sum(), 60 / (120 - y.sum()))
+    assert np.allclose(w, (alpha * sign) @ values) and np.isclose(bias, (alpha * sign).sum())
+    margin = sign * (values @ w + bias)
+    assert (alpha >= 0).all() and (alpha <= cost).all() and ((alpha > 0) & (alpha < cost)).any() and (alpha == cost).any()
+    assert (margin[alpha == 0] >= 1 - 1e-5).all() and (margin[alpha == cost] <= 1 + 1e-5).all()
+    assert np.allclose(margin[(alpha > 0) & (alpha < cost)], 1, atol=1e-5)
+    primal = (w @ w + bias * bias) / 2 + (cost * np.maximum(0, 1 - margin)).sum()
+    assert np.isclose(primal, alpha.sum() - (w @ w + bias * bias) / 2, rtol=1e-4)  # no gap to the dual
+
+
 def test_features_are_distinct():
     f = quality.features("the the the cat!! the the")
     assert len(f) == len(set(f.tolist())) and quality.features(None).tolist() == [0]
