@@ -60,6 +60,13 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def revived(kind: type, state: dict):
+    """An object of this kind from its attributes: a broadcast holds these, which workers can read without a copy of the package."""
+    out = object.__new__(kind)
+    out.__dict__ = state
+    return out
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, over its tasks."""
     return sys.modules.setdefault("_tessella_cache", types.ModuleType("_tessella_cache")).__dict__

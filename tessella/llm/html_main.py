@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import map_rows
+from tessella.llm.common import map_rows, revived
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*)>""", re.S)
 ATTR = re.compile(r"""(?<![\w-])(class|id|role|style|itemprop|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -400,12 +400,13 @@ def extract(df: DataFrame) -> DataFrame:
     Null and empty pages give an empty text. Repeated rows each have their
     result; an empty table gives no rows; further columns are not read.
     """
-    model = df.sparkSession.sparkContext.broadcast(trained())  # fifty small trees
+    model = df.sparkSession.sparkContext.broadcast(vars(trained()))  # fifty small trees
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
+        trees = revived(Trees, model.value)
         for b in batches:
             for k in range(0, len(b["page_id"]), 256):
-                texts = main_texts(b["html"][k : k + 256], model.value)
+                texts = main_texts(b["html"][k : k + 256], trees)
                 yield {"page_id": b["page_id"][k : k + 256], "url": b["url"][k : k + 256], "text": texts, "n_chars": [len(t) for t in texts]}
 
     return map_rows(df.select("page_id", "url", "html"), run, "page_id long, url string, text string, n_chars long")

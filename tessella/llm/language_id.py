@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import map_rows, table
+from tessella.llm.common import map_rows, revived, table
 
 BITS = 16
 #: The sample's bound: so many rows are expected at most for each language.
@@ -150,13 +150,14 @@ def identify(df: DataFrame, model: TextModel, key: list[str], text: str, declare
     known = F.array(*[F.lit(v) for v in languages])
     clean = lambda c: F.when(F.array_contains(known, p := F.lower(F.split_part(c, F.lit("-"), F.lit(1)))), p)
     rows = df.select(*key, F.col(text).alias("__text"), (blank if declared is None else clean(declared)).alias("__declared"), (blank if suffix is None else clean(suffix)).alias("__suffix"), (blank if host is None else host).alias("__host"), (blank if domain is None else domain).alias("__domain"))
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = df.sparkSession.sparkContext.broadcast(vars(model))
     kept = [c for c in rows.columns if c != "__text"]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
+        known = revived(TextModel, sent.value)
         for b in batches:
             texts = (prose(t) if markup and t else t for t in b["__text"])
-            logs = [sent.value.likelihood(t) for t in texts]
+            logs = [known.likelihood(t) for t in texts]
             yield {c: b[c] for c in kept} | {"__logs": logs, "__shares": [shares(x) for x in logs]}
 
     schema = rows.drop("__text").schema.add("__logs", T.ArrayType(T.DoubleType())).add("__shares", T.ArrayType(T.DoubleType()))

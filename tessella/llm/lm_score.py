@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import crc_mod, map_rows, parts, table
-from tessella.llm.context_tree import TOP, Subtrees, Top, grams
+from tessella.llm.common import crc_mod, map_rows, parts, revived, table
+from tessella.llm.context_tree import TOP, Mixture, Subtrees, Top, grams
 
 DEPTH = 5
 HEAD = 150_000
@@ -202,14 +202,14 @@ def top_of(found: DataFrame, depth: int) -> Top:
 
 
 def gram_values(found: DataFrame, top, depth: int) -> DataFrame:
-    """key, value (log10 of the probability) of the rows key, n, wanted that are wanted; n of 0 is no count. top: a broadcast Top."""
+    """key, value (log10 of the probability) of the rows key, n, wanted that are wanted; n of 0 is no count. top: a broadcast of the levels of a Top."""
 
     def part(key: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
         asked = np.unique(key[wanted])
         if not len(asked):
             return asked, np.empty(0)
         seen = n > 0
-        return asked, Subtrees(key[seen], n[seen], depth).log10(asked, top.value)
+        return asked, Subtrees(key[seen], n[seen], depth).log10(asked, revived(Top, {"levels": [revived(Mixture, m) for m in top.value]}))
 
     return by_subtree(found, part, "key long, value double")
 
@@ -232,10 +232,10 @@ def score(df: DataFrame, folds: int = 10, depth: int = DEPTH, head: int = HEAD,
     ends = n_of(END)
     total, vocabulary = n_of(WORD) + ends, n_of(WORD, "distinct") + (ends > 0)
     found = counted.where(f"kind = {GRAM}").select("key", "n")
-    top = sc.broadcast(top_of(found, depth))
+    top = sc.broadcast([vars(m) for m in top_of(found, depth).levels])
     common = F.col("n") >= level(found, head_grams)
     got = gram_values(found.withColumn("wanted", common), top, depth).toArrow()  # at most head_grams rows of two numbers
-    near = sc.broadcast(Head(*(got[c].combine_chunks().to_numpy().view(t) for c, t in (("key", np.uint64), ("value", np.float64)))))
+    near = sc.broadcast(vars(Head(*(got[c].combine_chunks().to_numpy().view(t) for c, t in (("key", np.uint64), ("value", np.float64))))))
     most = words.where(F.col("n") >= level(words, head)).toPandas()
     frequent = sc.broadcast(dict(zip(most["key"].tolist(), most["n"].tolist(), strict=True)))  # at most `head` words
     end_part = math.log10(ends + 0.1)
@@ -243,7 +243,7 @@ def score(df: DataFrame, folds: int = 10, depth: int = DEPTH, head: int = HEAD,
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         from xxhash import xxh64_intdigest
 
-        model, known, memo = near.value, frequent.value, {}
+        model, known, memo = revived(Head, near.value), frequent.value, {}
         row = TaskContext.get().partitionId() << 36
         for b in batches:
             texts = [(t or "").encode().lower() for t in b["text"]]

@@ -37,7 +37,7 @@ from tessella.llm.lm_score import level
 
 WIDTH, LEAST = 5, 0.8
 #: For the order only: so many texts are sampled, and so many shingles are sent to all workers (16 bytes each).
-SAMPLE, COMMON = 6_000, 200_000
+SAMPLE, SAMPLE_TASKS, COMMON = 6_000, 8, 200_000
 #: Up to so many set names are sent to all workers; more are joined by a shuffle.
 BROADCAST_SETS = 1_000_000
 
@@ -52,16 +52,16 @@ def prefix_length(n: int, least: float) -> int:
 
 
 def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and sample counts of the most common shingles."""
-    share = math.ceil(min(1.0, SAMPLE / max(1, rows.count())) * (1 << 20))
+    """Sorted hashes and sample counts of the most common shingles. The sample is dealt to a few tasks, which hand on what occurs twice among their texts."""
+    share = min(1.0, SAMPLE / max(1, rows.count()))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            u, n = np.unique(np.concatenate([shingles(t, width) for t in b["text"]]), return_counts=True)
-            yield {"key": u.view(np.int64), "n": n}
+        found = [np.empty(0, np.uint64), *(shingles(t, width) for b in batches for t in b["text"])]  # bounded: a few hundred texts
+        u, n = np.unique(np.concatenate(found), return_counts=True)
+        yield {"key": u[n > 1].view(np.int64), "n": n[n > 1]}
 
-    taken = rows.where(F.pmod(F.xxhash64(F.lit("order"), "row"), F.lit(1 << 20)) < share).select("text")
-    found = table(map_rows(taken, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 3"), "common-shingles")
+    taken = rows.where(F.pmod(F.xxhash64(F.lit("order"), "row"), F.lit(1 << 62)) < int(share * (1 << 62))).select("text").repartition(SAMPLE_TASKS)
+    found = table(map_rows(taken, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "common-shingles")
     got = found.where(F.col("n") >= level(found, COMMON)).toPandas()
     key, n = got["key"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
     at = np.argsort(key)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import crc_mod, map_rows, powers, worker_cache
+from tessella.llm.common import crc_mod, map_rows, powers, revived, worker_cache
 
 BITS = 18
 #: The sample's bound: so many labelled rows are expected at most.
@@ -191,10 +191,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, folds: int = 5)
     Null and empty texts share one score; repeated rows each have theirs; an
     empty table gives no rows; other columns are not read.
     """
-    blob = docs.sparkSession.sparkContext.broadcast(model)  # 2^18 weights, whatever the input
+    blob = docs.sparkSession.sparkContext.broadcast(vars(model))  # 2^18 weights, whatever the input
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        m = blob.value
+        m = revived(Model, blob.value)
         for b in batches:
             scores = [m.score(features(t)) for t in b["text"]]
             yield {"doc_id": b["doc_id"], "held_out": b["held_out"], "score": scores, "predicted": [int(s >= threshold) for s in scores]}

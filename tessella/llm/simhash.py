@@ -115,9 +115,8 @@ def forest(fps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return a, b
 
 
-def walk(masks: np.ndarray, bucket: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over rows (m, fp) sorted by m and masked value: links (a, b, m null), and members (a, b null, m) of keys larger than `bucket`."""
-    masks = masks.view(np.uint64)
+def walk(bucket: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows (m, masked value, fp) sorted by the first two: links (a, b, m null), and members (a, b null, m) of keys larger than `bucket`."""
 
     def batch(a: np.ndarray, b: np.ndarray | None, m: np.ndarray | None) -> pa.RecordBatch:
         none = lambda kind: pa.nulls(len(a), kind)
@@ -125,18 +124,18 @@ def walk(masks: np.ndarray, bucket: int) -> Callable[[Iterator[pa.RecordBatch]],
         return pa.RecordBatch.from_arrays(cols, names=["a", "b", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, fp, large = np.empty(0, np.int32), np.empty(0, np.uint64), None
+        m, value, fp, large = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.uint64), None
 
         def key_of(i: int) -> tuple[int, int]:
-            return int(m[i]), int(fp[i] & masks[m[i]])
+            return int(m[i]), int(value[i])
 
         for rows in itertools.chain(batches, [None]):
             if rows is not None:
                 m = np.concatenate((m, rows.column(0).to_numpy()))
-                fp = np.concatenate((fp, rows.column(1).to_numpy().view(np.uint64)))
+                value = np.concatenate((value, rows.column(1).to_numpy()))
+                fp = np.concatenate((fp, rows.column(2).to_numpy().view(np.uint64)))
             if not len(m):
                 continue
-            value = fp & masks[m]
             starts = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (value[1:] != value[:-1]))))
             ends = np.append(starts[1:], len(m))
             split = np.zeros(len(starts), bool) if large is None else (np.arange(len(starts)) == 0) & (key_of(0) == large)
@@ -164,7 +163,7 @@ def walk(masks: np.ndarray, bucket: int) -> Callable[[Iterator[pa.RecordBatch]],
                 links_b += b
             yield batch(np.concatenate(links_a), np.concatenate(links_b), None)
             keep = starts[-1] if not whole[-1] and not split[-1] else len(m)
-            m, fp = m[keep:], fp[keep:]
+            m, value, fp = m[keep:], value[keep:], fp[keep:]
 
     return run
 
@@ -177,9 +176,9 @@ def links(distinct: DataFrame, bucket: int = 256) -> DataFrame:
         each = len(masks) // before
         split = members.select(F.explode(F.sequence(F.col("m") * each, F.col("m") * each + (each - 1))).alias("m"), "fp")
         value = F.expr(f"fp & element_at(array({','.join(f'{x}L' for x in masks.tolist())}), m + 1)")
-        keys = split.repartition(parts(distinct.sparkSession), "m", value).sortWithinPartitions("m", value)
+        keys = split.select("m", value.alias("value"), "fp").repartition(parts(distinct.sparkSession), "m", "value").sortWithinPartitions("m", "value")
         limit = bucket if depth < len(levels) - 1 else 1 << 11
-        out = table(keys.mapInArrow(walk(masks, limit), "a long, b long, m int"), "signatures")
+        out = table(keys.mapInArrow(walk(limit), "a long, b long, m int"), "signatures")
         found.append(out.where("m is null").select("a", "b"))
         members, before = out.where("m is not null").select("m", F.col("a").alias("fp")), len(masks)
         if members.isEmpty():
