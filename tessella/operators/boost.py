@@ -109,6 +109,18 @@ class Boosted:
                 break
         self.trees, self.gains = self.trees[:best], kept
 
+    def state(self) -> dict:
+        """Plain arrays: what workers can read without a copy of the package."""
+        return vars(self) | {"trees": [vars(t) for t in self.trees]}
+
+    @staticmethod
+    def revived(state: dict) -> Boosted:
+        out = object.__new__(Boosted)
+        out.__dict__ = dict(state, trees=[object.__new__(Tree) for _ in state["trees"]])
+        for tree, arrays in zip(out.trees, state["trees"], strict=True):
+            tree.__dict__ = arrays
+        return out
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         bins, out = binned(x, self.cuts), np.full(len(x), self.start)
         for tree in self.trees:

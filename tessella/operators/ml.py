@@ -88,11 +88,12 @@ def fit_utility(features: DataFrame, names: list[str], target: str, rounds: int
 
 def predict_utility(model: boost.Boosted, features: DataFrame, names: list[str]) -> DataFrame:
     """image_id, score of every row."""
-    sent = features.sparkSession.sparkContext.broadcast(model)  # some hundred small trees
+    sent = features.sparkSession.sparkContext.broadcast(model.state())  # some hundred small trees
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = boost.Boosted.revived(sent.value)
         for pdf in batches:
-            yield pd.DataFrame({"image_id": pdf["image_id"], "score": sent.value.predict(pdf[names].to_numpy(float))})
+            yield pd.DataFrame({"image_id": pdf["image_id"], "score": known.predict(pdf[names].to_numpy(float))})
 
     doubles = [F.col(n).cast("double").alias(n) for n in names]
     return features.select("image_id", *doubles).mapInPandas(run, features.select("image_id").schema.add("score", "double"))
@@ -120,14 +121,14 @@ def cross_validate(features: DataFrame, names: list[str], target: str, folds: in
     return each.groupBy("fold").applyInPandas(run, "fold int, n long, rho double, rounds int, gains array<struct<name:string,gain:double>>")
 
 
-def save_model(model, spark: SparkSession, path: str) -> None:
+def save_model(model: boost.Boosted, spark: SparkSession, path: str) -> None:
     """SC19: a model as a table of one row, in any store that Spark writes."""
-    spark.createDataFrame([(bytearray(pickle.dumps(model)),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+    spark.createDataFrame([(bytearray(pickle.dumps(model.state())),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def load_model(spark: SparkSession, path: str):
+def load_model(spark: SparkSession, path: str) -> boost.Boosted:
     """SC19: what save_model wrote; load own models only."""
-    return pickle.loads(bytes(spark.read.parquet(path).first().model))
+    return boost.Boosted.revived(pickle.loads(bytes(spark.read.parquet(path).first().model)))
 
 
 def distortion(before: DataFrame, after: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def _(t):
     return files.manifest(_paths(t).where("image_id % 10 = 0"), "moved/")
 
 
-@query("sk10_display", "SELECT run, epoch, event_id, CASE WHEN event_id % 7 = 0 THEN '—' ELSE printf('%.4f', r) END AS cell FROM results")
+@query("sk10_display", "SELECT run, CAST(epoch AS INTEGER) AS epoch, event_id, CASE WHEN event_id % 7 = 0 THEN '—' ELSE printf('%.4f', r) END AS cell FROM results")
 def _(t):
     return t.results.select("run", "epoch", "event_id", metrics.display(F.when(F.col("event_id") % 7 != 0, F.col("r"))).alias("cell"))
 
@@ -70,12 +70,13 @@ def _(t):
     return files.ground_truth(t.images.select("image_id"), t.boxes).select("image_id", "box_seq", "cls", "area", "x1", "y1", "x2", "y2")
 
 
-@query("pj10_polygons", f"SELECT image_id, box_seq, cls, round((trunc((xc-w/2)*width)+trunc((xc+w/2)*width))/2/width, 6) AS xc, round((trunc((yc-h/2)*height)+trunc((yc+h/2)*height))/2/height, 6) AS yc, round((trunc((xc+w/2)*width)-trunc((xc-w/2)*width))/width, 6) AS w, round((trunc((yc+h/2)*height)-trunc((yc-h/2)*height))/height, 6) AS h FROM boxes JOIN {SIZED} USING (image_id)")
+@query("pj10_polygons", f"SELECT image_id, box_seq, cls, round((trunc((xc-w/2)*width)+trunc((xc+w/2)*width))/2/width*1000, 6) AS xc, round((trunc((yc-h/2)*height)+trunc((yc+h/2)*height))/2/height*1000, 6) AS yc, round((trunc((xc+w/2)*width)-trunc((xc-w/2)*width))/width*1000, 6) AS w, round((trunc((yc+h/2)*height)-trunc((yc-h/2)*height))/height*1000, 6) AS h FROM boxes JOIN {SIZED} USING (image_id)")
 def _(t):
     x1, y1, x2, y2 = G.corners(*[F.col(c) for c in ("xc", "yc", "w", "h")])
     line = F.concat_ws(" ", "cls", x1, y1, x2, y1, x2, y2, x1, y2)
     whole = t.boxes.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("box_seq", line.alias("line")))), lambda b: b.line), "\n").alias("value"))
-    return files.parse_polygons(whole, _sized(t))
+    found = files.parse_polygons(whole, _sized(t))
+    return found.select("image_id", "box_seq", "cls", *[(F.col(c) * 1000).alias(c) for c in ("xc", "yc", "w", "h")])  # in thousandths: no ties at the sixth place
 
 
 @query("sc04_labels", f"SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY box_seq) - 1 AS INTEGER) AS box_seq, cls, {', '.join(f'round({c}, 6) AS {c}' for c in ('xc', 'yc', 'w', 'h', 'conf'))} FROM preds")
@@ -99,7 +100,7 @@ def _(t):
     return _sized(t).withColumn("f", G.letterbox(F.col("width"), F.col("height"), 640, 640)).select("image_id", F.col("f.gain").alias("gain"), (F.col("f.left") + 0.0).alias("left_pad"), (F.col("f.top") + 0.0).alias("top_pad"))
 
 
-_back = lambda c, pad, most: f"round(least(greatest(({c} - {pad}) / gain, 0), {most}), 6)"
+_back = lambda c, pad, most: f"round(least(greatest(({c} - {pad}) / gain, 0), {most}) * 1000, 6)"
 
 
 @query("pj14_unletterbox", f"WITH {FIT} SELECT image_id, box_seq, {_back('(xc-w/2)*640', 'l', 'width')} AS x1, {_back('(yc-h/2)*640', 't', 'height')} AS y1, {_back('(xc+w/2)*640', 'l', 'width')} AS x2, {_back('(yc+h/2)*640', 't', 'height')} AS y2 FROM boxes JOIN p USING (image_id)")
@@ -107,7 +108,7 @@ def _(t):
     rows = t.boxes.join(_sized(t), "image_id").withColumn("f", G.letterbox(F.col("width"), F.col("height"), 640, 640))
     canvas = tuple(c * 640 for c in G.corners(*[F.col(c) for c in ("xc", "yc", "w", "h")]))
     out = G.unletterbox(canvas, F.col("f"), F.col("width"), F.col("height"))
-    return rows.select("image_id", "box_seq", *[c.alias(n) for c, n in zip(out, ("x1", "y1", "x2", "y2"), strict=True)])
+    return rows.select("image_id", "box_seq", *[(c * 1000).alias(n) for c, n in zip(out, ("x1", "y1", "x2", "y2"), strict=True)])
 
 
 @query("pj15_label_lines", "SELECT image_id, box_seq, cls || ' ' || round(xc, 4) || ' ' || round(yc, 4) || ' ' || round(w, 4) || ' ' || round(h, 4) AS line FROM boxes")
@@ -279,7 +280,7 @@ def _(t):
     return found.select(F.col("pos").cast("long").alias("pos"), "path", "image_id")
 
 
-@query("sc15_losses", "SELECT CAST(im_file AS VARCHAR) AS im_file, epoch, round(loss_iou, 4) AS loss_iou, round(loss_cls, 4) AS loss_cls, round(loss_dfl, 4) AS loss_dfl FROM per_sample_loss")
+@query("sc15_losses", "SELECT CAST(im_file AS VARCHAR) AS im_file, CAST(epoch AS INTEGER) AS epoch, round(loss_iou, 4) AS loss_iou, round(loss_cls, 4) AS loss_cls, round(loss_dfl, 4) AS loss_dfl FROM per_sample_loss")
 def _(t):
     path = _path(t, "losses")
     t.per_sample_loss.select("im_file", "epoch", "loss_iou", "loss_cls", "loss_dfl").write.option("header", True).csv(path)
