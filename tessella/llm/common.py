@@ -52,6 +52,26 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Up to so many keys are sent to all workers; more are joined by a shuffle.
+SENT_KEYS = 500_000
+
+
+def sent(keys: DataFrame) -> DataFrame:
+    """A written table of keys for a join: sent to all workers where its counted rows are few."""
+    return F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
+
+
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    """The keys of more than one row, written down."""
+    return sent(table(df.groupBy(key).agg(F.count(F.lit(1)).alias("__times")).where("__times > 1").select(key), "repeated"))
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """One row of each key. Rows whose key is theirs alone, mostly nearly all, are neither moved nor sorted. df must read the same rows on every pass."""
+    many = repeated(df, key)
+    return df.join(many, key, "left_anti").unionByName(df.join(many, key, "left_semi").dropDuplicates([key]).select(*df.columns))
+
+
 def drop_table(df: DataFrame) -> None:
     """Removes the files behind a frame that table() returned."""
     spark = df.sparkSession

@@ -26,20 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import simhash
-from tessella.llm.common import drop_table, map_rows, parts, table
+from tessella.llm.common import drop_table, map_rows, once, parts, repeated, sent, table
 from tessella.llm.graph import components
 from tessella.llm.lm_score import level
 
 WIDTH, LEAST = 5, 0.8
 #: For the order only: so many texts are sampled, and so many shingles are sent to all workers (16 bytes each).
 SAMPLE, SAMPLE_TASKS, COMMON = 6_000, 8, 200_000
-#: Up to so many set names are sent to all workers; more are joined by a shuffle.
-BROADCAST_SETS = 1_000_000
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -201,13 +199,16 @@ def _verified(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, width: int,
     every = table(pairs.distinct(), "candidates")
     known = table(firsts.join(named(every), "name", "left_semi"), "candidate-bins")
     pairs = table(_likely(every, known, least), "likely-pairs")
-    wanted = table(known.join(named(pairs), "name", "left_semi").select("row"), "candidate-rows")
-    if wanted.count() <= BROADCAST_SETS:
-        wanted = F.broadcast(wanted)
+    wanted = sent(table(known.join(named(pairs), "name", "left_semi").select("row"), "candidate-rows"))
 
     def sets_of(batches: Iterator[dict]) -> Iterator[dict]:
+        seen: set = set()  # rows that repeat whole: one of them for each task
         for b in batches:
-            found = [shingles(t, width) for t in b["text"]]
+            found = []
+            for row, t in zip(b["row"], b["text"], strict=True):
+                if row not in seen:
+                    seen.add(row)
+                    found.append(shingles(t, width))
             yield {"name": [_name(u) for u in found], "hashes": [u.tobytes() for u in found]}
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,9 +218,10 @@ def _verified(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, width: int,
             either = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - both
             yield b.select(["a", "b"]).filter(pa.array(both >= either * least - 1e-9))
 
-    texts = rows.select("row", "text").join(wanted, "row", "left_semi").dropDuplicates(["row"]).select("text")
+    texts = rows.select("row", "text").join(wanted, "row", "left_semi")
     sets = table(map_rows(texts, sets_of, "name long, hashes binary"), "candidate-sets")
-    side = lambda c: sets.select(F.col("name").alias(c), F.col("hashes").alias(f"{c}_set"))
+    single = once(sets, "name")
+    side = lambda c: single.select(F.col("name").alias(c), F.col("hashes").alias(f"{c}_set"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
     found = table(both.mapInArrow(compared, "a long, b long"), "near-pairs")
     for done in (every, known, sets):
@@ -249,8 +251,11 @@ def groups(rows: DataFrame, width: int = WIDTH, least: float = LEAST, bucket: in
     without words are one set. Repeated rows are one entry; an empty table has no groups.
     """
     sets = table(_sets(rows, width, least), "shingle-sets")
-    entry: Column = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
-    firsts = table(sets.groupBy("name").agg(entry.alias("first"), *[F.first(c).alias(c) for c in ("size", "prefix", "fp", "bins")]), "distinct-sets")
+    entry = F.struct(F.col("id").isNull().alias("no_id"), "id", "row").alias("first")
+    many = repeated(sets, "name")  # the others need neither a shuffle nor a sort
+    grouped = sets.join(many, "name", "left_semi").select("name", entry, "size", "prefix", "fp", "bins").groupBy("name").agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("size", "prefix", "fp", "bins")])
+    alone = sets.join(many, "name", "left_anti").select("name", entry, "size", "prefix", "fp", "bins")
+    firsts = table(alone.unionByName(grouped), "distinct-sets")
     drop_table(sets)
     by_row = firsts.select("name", F.col("first.row").alias("row"), "size", "bins")
     links = _verified(_by_fingerprint(firsts), by_row, rows, width, least)
