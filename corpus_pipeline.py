@@ -11,10 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, language_id, near_copies, packing, secret_scan
-from tessella.llm.common import table
-
-#: Up to so many marks are sent to all workers (16 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+from tessella.llm.common import once, sent, table
 
 
 def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -28,10 +25,7 @@ def _marked(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def _without(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     """The marked docs less those whose mark is in rows, without the mark."""
-    rejected = table(rows.select(name).distinct(), "rejected")
-    if rejected.count() <= BROADCAST_ROWS:
-        rejected = F.broadcast(rejected)
-    return docs.join(rejected, name, "left_anti").drop(name)
+    return docs.join(sent(table(rows.select(name).distinct(), "rejected")), name, "left_anti").drop(name)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +51,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     marked, row = _marked(docs)
     found = near_copies.groups(marked.select(F.col(row).alias("row"), F.col("doc_id").alias("id"), "text"))
-    kept = found.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    once = marked.dropDuplicates([row])  # before the shuffle, so that a row that repeats very often is no single task
-    return once.join(kept, row, "left_semi").drop(row)
+    kept = table(found.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)), "kept")
+    return once(marked, row).join(sent(kept), row, "left_semi").drop(row)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
