@@ -141,6 +141,9 @@ def test_image_sizes(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r.image_id: (r.width, r.height) for r in files.read_sizes(spark, str(tmp_path)).collect()}
     assert got == {"a": (640, 480), "b": (300, 200), "c": (None, None), "d": (None, None), "e": (5, 4)}
+    assert sorted((r.image_id, r.bytes) for r in files.read_images(spark, str(tmp_path)).collect())[1] == ("b", len(png))
+    sizes = spark.createDataFrame([("x", 1280, 720), ("y", 640, 480), ("z", 320, 180)], "image_id string, width int, height int")
+    assert [r.image_id for r in files.sized_images(sizes).collect()] == ["x"]
     lines = spark.createDataFrame([("a", "3 " + " ".join(["0.5 0.5"] * 60_000 + ["0.9 0.8"]))], "image_id string, value string")
     box = files.parse_polygons(lines, spark.createDataFrame([("a", 1000, 1000)], "image_id string, width int, height int")).first()
     assert (box.cls, box.w, box.h) == (3, pytest.approx(0.4), pytest.approx(0.3))
