@@ -87,9 +87,13 @@ def revived(kind: type, state: dict):
     return out
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker, over its tasks."""
-    return sys.modules.setdefault("_tessella_cache", types.ModuleType("_tessella_cache")).__dict__
+def worker_cache(owner: str | None = None) -> dict:
+    """A dictionary that lives in the Python worker over its tasks, until tasks of another owner begin."""
+    kept = sys.modules.setdefault("_tessella_cache", types.ModuleType("_tessella_cache")).__dict__
+    if owner is not None and kept.setdefault("owner", owner) != owner:
+        kept.clear()
+        kept["owner"] = owner
+    return kept
 
 
 #: Rows that are Python objects at a time.
@@ -100,9 +104,11 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], Iterator[dict[str, l
     """mapInArrow over Python lists: fn gets an iterator of {column: list} and yields the same; arrays may stand for lists."""
     bounded_batches(df.sparkSession)
     kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    arrow = to_arrow_schema(kind)
+    arrow, owner = to_arrow_schema(kind), fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(owner)
+
         def lists() -> Iterator[dict[str, list]]:
             for b in batches:
                 for at in range(0, b.num_rows, SLICE):

@@ -14,8 +14,9 @@ places allow are tested by counts of hashes in 256 bins, which bound what two
 sets can share, and then verified by the whole sets.
 
 Texts of one set are one entry. A key of more than `bucket` entries is never
-gathered: its members are first compared with one of them, another for each key,
-and then those of different groups with each other, by joins.
+gathered: its members are first compared with a few of them, one for each step
+of size, in rounds, and then those of groups that are still apart with each
+other, by joins.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ from tessella.llm.graph import components
 from tessella.llm.lm_score import level
 
 WIDTH, LEAST = 5, 0.8
-#: For the order only: so many texts are sampled, and so many shingles are sent to all workers (16 bytes each).
-SAMPLE, SAMPLE_TASKS, COMMON = 6_000, 8, 200_000
+#: For the order only: one text in sixteen is sampled (all of the first SAMPLE), and so many shingles are sent to all workers (12 bytes each).
+SAMPLE_SHARE, SAMPLE, COMMON = 1 / 16, 6_000, 2_000_000
+#: For a large key: in so many rounds its members are compared with some of them.
+ROUNDS = 2
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -50,20 +53,22 @@ def prefix_length(n: int, least: float) -> int:
 
 
 def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and sample counts of the most common shingles. The sample is dealt to a few tasks, which hand on what occurs twice among their texts."""
-    share = min(1.0, SAMPLE / max(1, rows.count()))
+    """Sorted hashes and sample counts of the most common shingles."""
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE / max(1, rows.count())))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        found = [np.empty(0, np.uint64), *(shingles(t, width) for b in batches for t in b["text"])]  # bounded: a few hundred texts
-        u, n = np.unique(np.concatenate(found), return_counts=True)
-        yield {"key": u[n > 1].view(np.int64), "n": n[n > 1]}
-
-    taken = rows.where(F.pmod(F.xxhash64(F.lit("order"), "row"), F.lit(1 << 62)) < int(share * (1 << 62))).select("text").repartition(SAMPLE_TASKS)
-    found = table(map_rows(taken, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "common-shingles")
-    got = found.where(F.col("n") >= level(found, COMMON)).toPandas()
-    key, n = got["key"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+        for b in batches:
+            u, n = np.unique(np.concatenate([shingles(t, width) for t in b["text"]]), return_counts=True)
+            yield {"key": u.view(np.int64), "n": n}
+
+    taken = rows.where(F.pmod(F.xxhash64(F.lit("order"), "row"), F.lit(1 << 62)) < int(share * (1 << 62))).select("text")
+    found = table(map_rows(taken, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 3"), "common-shingles")
+    got = found.where(F.col("n") >= level(found, COMMON)).toArrow()
+    key, n = (got[c].combine_chunks().to_numpy() for c in ("key", "n"))
+    drop_table(found)
+    key = key.view(np.uint64)
     at = np.argsort(key)
-    return key[at], n[at]
+    return key[at], n[at].astype(np.int32)
 
 
 BINS = 256
@@ -235,6 +240,13 @@ def _labelled(df: DataFrame, links: DataFrame) -> DataFrame:
     return df.join(found, "name", "left").withColumn("grp", F.coalesce("grp", "name"))
 
 
+def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members (key, name, pos, size) with their groups, of the keys whose members are not one group."""
+    left = _labelled(members, links)
+    mixed = left.groupBy("key").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("key")
+    return table(left.join(mixed, "key", "left_semi"), "large-keys")
+
+
 def _by_fingerprint(firsts: DataFrame) -> DataFrame:
     """Candidates a, b: each set with the first of its fingerprint, and the first ones of fingerprints within three bits."""
     leads = table(firsts.groupBy("fp").agg(F.min("name").alias("lead")), "fingerprints")
@@ -263,14 +275,20 @@ def groups(rows: DataFrame, width: int = WIDTH, least: float = LEAST, bucket: in
     walked = table(posts.repartition(parts(rows.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_walk(bucket, least), "key long, a long, b long, grp long, pos int, size int"), "walked")
     pairs = walked.where("b is not null").select("a", "b")
     large = walked.where("b is null").select("key", F.col("a").alias("name"), "grp", "pos", "size")
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    one = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "name").alias("h"), "name", "grp", "pos", "size")).alias("one"))
-    near_one = large.join(one, "key").where((F.col("grp") != F.col("one.grp")) & _possible(F.col("size"), F.col("pos"), F.col("one.size"), F.col("one.pos"), least))
-    links = links.union(_verified(pairs.union(near_one.select(*ordered("name", "one.name"))), by_row, rows, width, least))
-    if not large.isEmpty():
-        left = _labelled(large.drop("grp"), links)
-        mixed = left.groupBy("key").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("key")
-        left = table(left.join(mixed, "key", "left_semi"), "large-keys")
+    links = links.union(_verified(pairs, by_row, rows, width, least))
+    left = large.drop("grp")
+    for turn in range(ROUNDS):  # links to a few members of each key join most of its groups, pair by pair what is still apart
+        if left.isEmpty():
+            break
+        left = _apart(left, links)
+        step = F.round(F.ln("size") * 10).cast("int")  # sets that similar lie within two steps of a tenth
+        lead = F.min(F.struct(F.floor(20 * F.col("pos") / F.col("size")).alias("late"), F.xxhash64("name", F.lit(turn)).alias("h"), "name", "grp", "pos", "size"))  # sets that have the key early may match most
+        leads = left.groupBy("key", step.alias("step")).agg(lead.alias("l")).select("key", F.explode(F.sequence(F.col("step") - 2, F.col("step") + 2)).alias("step"), *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("name", "grp", "pos", "size")])
+        to_lead = left.withColumn("step", step).join(leads, ["key", "step"]).where((F.col("grp") != F.col("l_grp")) & _possible(F.col("size"), F.col("pos"), F.col("l_size"), F.col("l_pos"), least))
+        found = _verified(to_lead.select(F.least("name", "l_name").alias("a"), F.greatest("name", "l_name").alias("b")), by_row, rows, width, least)
+        links, left = links.union(found), left.drop("grp")
+    if not left.isEmpty():
+        left = _apart(left, links)
         x, y = left.alias("x"), left.alias("y")
         apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.name") < F.col("y.name")) & (F.col("x.grp") != F.col("y.grp")) & _possible(F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos"), least))
         links = links.union(_verified(apart.select(F.col("x.name").alias("a"), F.col("y.name").alias("b")), by_row, rows, width, least))
