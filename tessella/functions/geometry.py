@@ -70,9 +70,10 @@ def polygon_box(points: Column, width: Column, height: Column) -> Column:
 
     A plain box line read as a polygon gives a wrong box: its size counts as a vertex.
     """
-    n = F.floor(F.size(points) / 2).cast("int")
-    xs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (points[i * 2] * width).cast("int"))
-    ys = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (points[i * 2 + 1] * height).cast("int"))
+    whole = F.slice(points, F.lit(1), F.size(points) - F.size(points) % 2)
+    # each list is walked once: an access by index in a lambda would make the list anew for every element
+    xs = F.transform(F.filter(whole, lambda _, i: i % 2 == 0), lambda v: (v * width).cast("int"))
+    ys = F.transform(F.filter(whole, lambda _, i: i % 2 == 1), lambda v: (v * height).cast("int"))
     lo_x, hi_x, lo_y, hi_y = F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)
     return F.struct(
         ((lo_x + hi_x) / 2 / width).alias("xc"), ((lo_y + hi_y) / 2 / height).alias("yc"),
