@@ -14,9 +14,11 @@ places allow are tested by counts of hashes in 256 bins, which bound what two
 sets can share, and then verified by the whole sets.
 
 Texts of one set are one entry. A key of more than `bucket` entries is never
-gathered: its members are first compared with a few of them, one for each step
-of size, in rounds, and then those of groups that are still apart with each
-other, by joins.
+gathered: its members are first compared with a few of them in rounds, for each
+step of size those that have the key earliest in their order, and then those of
+groups that are still apart with each other, by joins. The first places of a set
+are its rare shingles, which few others have; of edited copies of one text the
+one that has a common shingle earliest is the least edited and similar to most.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ from tessella.llm.lm_score import level
 WIDTH, LEAST = 5, 0.8
 #: For the order only: one text in sixteen is sampled (all of the first SAMPLE), and so many shingles are sent to all workers (12 bytes each).
 SAMPLE_SHARE, SAMPLE, COMMON = 1 / 16, 6_000, 2_000_000
-#: For a large key: in so many rounds its members are compared with some of them.
-ROUNDS = 2
+#: For a large key: in so many rounds its members are compared with some of them, so many of each step of size.
+ROUNDS, LEADS = 2, 2
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -282,8 +284,9 @@ def groups(rows: DataFrame, width: int = WIDTH, least: float = LEAST, bucket: in
             break
         left = _apart(left, links)
         step = F.round(F.ln("size") * 10).cast("int")  # sets that similar lie within two steps of a tenth
-        lead = F.min(F.struct(F.floor(20 * F.col("pos") / F.col("size")).alias("late"), F.xxhash64("name", F.lit(turn)).alias("h"), "name", "grp", "pos", "size"))  # sets that have the key early may match most
-        leads = left.groupBy("key", step.alias("step")).agg(lead.alias("l")).select("key", F.explode(F.sequence(F.col("step") - 2, F.col("step") + 2)).alias("step"), *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("name", "grp", "pos", "size")])
+        part = F.pmod(F.xxhash64("name", F.lit(-1 - turn)), F.lit(LEADS))
+        lead = F.min(F.struct("pos", F.xxhash64("name", F.lit(turn)).alias("h"), "name", "grp", "size"))  # the least edited, see above
+        leads = left.groupBy("key", step.alias("step"), part.alias("part")).agg(lead.alias("l")).select("key", F.explode(F.sequence(F.col("step") - 2, F.col("step") + 2)).alias("step"), *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("name", "grp", "pos", "size")])
         to_lead = left.withColumn("step", step).join(leads, ["key", "step"]).where((F.col("grp") != F.col("l_grp")) & _possible(F.col("size"), F.col("pos"), F.col("l_size"), F.col("l_pos"), least))
         found = _verified(to_lead.select(F.least("name", "l_name").alias("a"), F.greatest("name", "l_name").alias("b")), by_row, rows, width, least)
         links, left = links.union(found), left.drop("grp")

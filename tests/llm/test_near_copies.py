@@ -56,3 +56,26 @@ def test_stage_joins_pairs_beyond_three_bits(spark):
     ids = sorted(texts)
     assert kept == {ids[i] for i in brute([texts[i] for i in ids])}
     assert not {145, 177} & kept  # 7 and 11 bits from documents 6 and 1
+
+
+def test_edited_copies_meet_few_pairs(spark, monkeypatch):
+    """Copies of one text with one to three edits, fewer than half of them similar to each other: groups as by all pairs, from pairs in proportion to the copies."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(500):
+        copy = list(words)
+        for at in rng.sample(range(150), 1 + k % 3):
+            copy[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").withColumn("row", F.xxhash64("id", "text"))
+    compared, verified = [], near_copies._verified
+
+    def counted(pairs, *args):
+        compared.append(pairs.distinct().count())
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    kept = near_copies.groups(rows).groupBy("component").agg(F.min("first").alias("first")).select("first.id")
+    assert {r.id for r in kept.collect()} == brute(texts)
+    assert sum(compared) <= 10 * len(texts), compared
